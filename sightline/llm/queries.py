@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.components import connected_components, keypoint_links
+from sightline.llm.leakage import find_leaks
 from sightline.llm.tokenizer import decode_corpus, encode_corpus
 from sightline.runtime import table
 
@@ -38,6 +39,15 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(back, "doc_id").select("doc_id", same.alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p6_ids, p6_roundtrip)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_passages(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked item of each document with the place and length of its longest stretch."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p6_ids, p6_roundtrip, p7_found, p7_passages)}
 
 SQL: dict[str, str] = {}
