@@ -12,10 +12,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: str | None = None
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -37,8 +40,25 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application; Arrow functions import it there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="sightline-ship-")  # on the driver, whose file server hands it out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, f"{root.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in root.rglob("*.py"):
+            z.write(source, Path(root.name, source.relative_to(root)))
+    context.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
