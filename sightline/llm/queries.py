@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm.components import connected_components, keypoint_links
 from sightline.llm.leakage import find_leaks
+from sightline.llm.subjects import assign_subjects
 from sightline.llm.tokenizer import decode_corpus, encode_corpus
 from sightline.runtime import table
 
@@ -48,6 +49,17 @@ def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p6_ids, p6_roundtrip, p7_found, p7_passages)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_subjects(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each area, and their share of all documents."""
+    total = table(spark, sf_dir, "documents").count()
+    sizes = p8_found(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"))
+    return sizes.select("subject", "n_documents", F.round(F.col("n_documents") / F.lit(max(total, 1)), 6).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p6_ids, p6_roundtrip, p7_found, p7_passages, p8_found, p8_shares)}
 
 SQL: dict[str, str] = {}
