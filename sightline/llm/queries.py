@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm.components import connected_components, keypoint_links
 from sightline.llm.leakage import find_leaks
+from sightline.llm.neighbours import similar_vectors
 from sightline.llm.subjects import assign_subjects
 from sightline.llm.tokenizer import decode_corpus, encode_corpus
 from sightline.runtime import table
@@ -16,6 +17,11 @@ from sightline.runtime import table
 TOKENIZER_DIR = os.environ.get("SIGHTLINE_TOKENIZERS", "/opt/tokenizers")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar_vectors(table(spark, sf_dir, "descriptors").select("kp_id", "descriptor"), "kp_id", "descriptor", k=5, max_distance=120.0)
+    return near.select(F.least("id", "neighbour").alias("kp_a"), F.greatest("id", "neighbour").alias("kp_b")).distinct()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = keypoint_links(*(table(spark, sf_dir, t) for t in ("keypoints", "matches", "points3d")))
     return connected_components(links).select(F.col("id").alias("kp_id"), "group_id")
@@ -60,6 +66,6 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("subject", "n_documents", F.round(F.col("n_documents") / F.lit(max(total, 1)), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p6_ids, p6_roundtrip, p7_found, p7_passages, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_sizes, p6_ids, p6_roundtrip, p7_found, p7_passages, p8_found, p8_shares)}
 
 SQL: dict[str, str] = {}
