@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.llm.clusters import describe_clusters, similarity_clusters
 from sightline.llm.components import connected_components, keypoint_links
 from sightline.llm.leakage import find_leaks
 from sightline.llm.neighbours import similar_vectors
@@ -33,6 +34,19 @@ def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_clusters(table(spark, sf_dir, "descriptors").select("kp_id", "descriptor"), "kp_id", "descriptor")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir).select(F.col("id").alias("kp_id"), "cluster_id")
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster with its size, its parts and its most typical keypoints."""
+    return describe_clusters(_clusters(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/byte_bpe_50k.json")
 
@@ -66,6 +80,6 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("subject", "n_documents", F.round(F.col("n_documents") / F.lit(max(total, 1)), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_sizes, p6_ids, p6_roundtrip, p7_found, p7_passages, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_sizes, p4_found, p4_clusters, p6_ids, p6_roundtrip, p7_found, p7_passages, p8_found, p8_shares)}
 
 SQL: dict[str, str] = {}
