@@ -13,7 +13,7 @@ from sightline.llm.proximity_graph import ProximityGraph
 from sightline.llm.vectors import classes, distinct_rows, fit_pivots, to_shards, unpacked
 from sightline.runtime import Staging
 
-DEGREE, BEAM, ALPHA, WIDTH = 16, 24, 1.2, 6
+DEGREE, BEAM, ALPHA, WIDTH = 24, 10, 1.1, 3
 
 
 def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
@@ -23,7 +23,7 @@ def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
     guest_ids, guests = distinct_rows(ids[place > 0], x[place > 0])
     source, target, squared = [], [], []
     if len(own_ids):
-        graph = ProximityGraph(own.astype(np.float32), DEGREE, BEAM, ALPHA, WIDTH)
+        graph = ProximityGraph(own.astype(np.float32), DEGREE, max(BEAM, 2 * k), ALPHA, WIDTH)
         for query_ids, queries in ((own_ids, own), (guest_ids, guests)):
             if not len(query_ids):
                 continue
@@ -52,7 +52,7 @@ def similar_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, max
     staging = Staging(df.sparkSession, "neighbours")
     limit = math.inf if max_distance is None else float(max_distance) ** 2
     pivots = fit_pivots(df, id_col, vector_col)
-    shards = to_shards(df, id_col, vector_col, pivots)
+    shards = to_shards(df, id_col, vector_col, pivots, max_distance=max_distance)
     found = shards.groupBy("shard").applyInArrow(lambda rows: _search_shard(rows, k, limit), "src long, dst long, d2 long")
     found = staging.write(found)
     both = found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d2"))

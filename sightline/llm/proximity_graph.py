@@ -77,7 +77,8 @@ class ProximityGraph:
             found = np.full(near.shape, np.inf, np.float32)
             found[r, c] = qn[row[r]] + self.norm[flat] - 2 * dots
             all_dist = np.concatenate([dist[:, :beam], found], axis=1)
-            best = np.argsort(all_dist, axis=1)[:, :beam]
+            best = np.argpartition(all_dist, beam - 1, axis=1)[:, :beam]
+            best = np.take_along_axis(best, np.argsort(np.take_along_axis(all_dist, best, 1), axis=1), 1)
             all_ids = np.concatenate([ids[:, :beam], near], axis=1)
             all_open = np.concatenate([open_[:, :beam], fresh], axis=1)
             ids[:, :beam] = np.take_along_axis(all_ids, best, 1)

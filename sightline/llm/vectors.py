@@ -132,13 +132,17 @@ def fit_pivots(df: DataFrame, id_col: str, vector_col: str) -> np.ndarray:
     return x[sorted(set(pivots))]
 
 
-def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: np.ndarray, nearest: int = 2) -> DataFrame:
+def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: np.ndarray, nearest: int = 2, max_distance: float | None = None) -> DataFrame:
     """``shard, place, id, vec``: each vector in the cells of its nearest pivots, 0 being its own.
 
+    With a ``max_distance`` a further cell is left out if its pivot is more than twice that distance further
+    off than the nearest: by the triangle inequality no vector of that cell is then within it.
+
     Copies within a batch go once, under their smallest id, so a group of copies of any size reaches a
     shard as one row for each batch.
     """
     shared = df.sparkSession.sparkContext.broadcast(pivots)
+    reach = np.inf if max_distance is None else 2 * max_distance + 1e-3
     schema = pa.schema([("shard", pa.int32()), ("place", pa.int32()), ("id", pa.int64()), ("vec", pa.binary())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +156,11 @@ def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: np.ndarray, n
                 take = min(nearest, len(p))
                 near = np.argpartition(d, take - 1, axis=1)[:, :take]
                 near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+                own = np.einsum("ij,ij->i", v.astype(np.float32), v.astype(np.float32))
+                away = np.sqrt(np.maximum(np.take_along_axis(d, near, 1) + own[:, None], 0))
                 for place in range(take):
-                    cell = pa.array(near[:, place].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([cell, pa.array(np.full(len(i), place, np.int32)), pa.array(i, pa.int64()), packed(v)], schema=schema)
+                    meets = away[:, place] <= away[:, 0] + reach
+                    cell, n = pa.array(near[meets, place].astype(np.int32)), int(meets.sum())
+                    yield pa.RecordBatch.from_arrays([cell, pa.array(np.full(n, place, np.int32)), pa.array(i[meets], pa.int64()), packed(v[meets])], schema=schema)
 
     return df.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(assign, "shard int, place int, id long, vec binary")
