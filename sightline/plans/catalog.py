@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("integrity",)
+MODULES = ("reports", "integrity")
 
 
 def _parts():
