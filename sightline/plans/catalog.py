@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("reports", "integrity")
+MODULES = ("reports", "model", "integrity")
 
 
 def _parts():
