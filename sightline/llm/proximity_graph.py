@@ -39,20 +39,36 @@ class ProximityGraph:
             ids[s : s + 512], dist[s : s + 512] = self._search(np.ascontiguousarray(queries[s : s + 512]), beam)
         return ids, dist
 
-    def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def search_own(self, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same for every vector of the graph, beginning at its own edges; it is not in its own beam."""
+        beam = beam or self.beam
+        ids = np.full((self.n, beam), self.n, np.int32)
+        dist = np.full((self.n, beam), np.inf, np.float32)
+        for s in range(0, self.n, 512):
+            rows = np.arange(s, min(s + 512, self.n))
+            ids[rows], dist[rows] = self._search(self.x[rows], beam, rows)
+        return ids, dist
+
+    def _search(self, q: np.ndarray, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         b, n, width = len(q), self.n, self.width
         out_ids, out_dist = np.full((b, beam), n, np.int32), np.full((b, beam), np.inf, np.float32)
         qn = np.einsum("ij,ij->i", q, q)
-        e = self.entries
-        d = qn[:, None] + self.norm[e][None] - 2 * (q @ self.x[e].T)
-        take = min(beam, len(e))
-        first = np.argsort(d, axis=1)[:, :take]
         ids = np.full((b, beam + 1), n, np.int32)
         dist = np.full((b, beam + 1), np.inf, np.float32)
-        ids[:, :take] = e[first]
-        dist[:, :take] = np.take_along_axis(d, first, 1)
         seen = np.zeros((b, n + 1), bool)
-        seen[:, e] = True
+        if own is None:
+            e = self.entries
+            d = qn[:, None] + self.norm[e][None] - 2 * (q @ self.x[e].T)
+            first = np.argsort(d, axis=1)[:, :beam]
+            ids[:, : first.shape[1]] = e[first]
+            dist[:, : first.shape[1]] = np.take_along_axis(d, first, 1)
+            seen[:, e] = True
+        else:
+            first = np.argsort(self.length[own], axis=1)[:, :beam]
+            ids[:, : first.shape[1]] = np.take_along_axis(self.edges[own], first, 1)
+            dist[:, : first.shape[1]] = np.take_along_axis(self.length[own], first, 1)
+            seen[np.arange(b)[:, None], self.edges[own]] = True
+            seen[np.arange(b), own] = True
         seen[:, n] = True
         open_ = np.isfinite(dist)
         row = np.arange(b)

@@ -154,10 +154,14 @@ def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: np.ndarray, n
                 i, v = ids[s : s + 4096], x[s : s + 4096]
                 d = norms[None] - 2 * (v.astype(np.float32) @ p.T)
                 take = min(nearest, len(p))
-                near = np.argpartition(d, take - 1, axis=1)[:, :take]
-                near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+                near, at = np.zeros((len(i), take), np.int64), np.arange(len(i))
+                found = np.zeros((len(i), take), np.float32)
+                for place in range(take):
+                    near[:, place] = d.argmin(1)
+                    found[:, place] = d[at, near[:, place]]
+                    d[at, near[:, place]] = np.inf
                 own = np.einsum("ij,ij->i", v.astype(np.float32), v.astype(np.float32))
-                away = np.sqrt(np.maximum(np.take_along_axis(d, near, 1) + own[:, None], 0))
+                away = np.sqrt(np.maximum(found + own[:, None], 0))
                 for place in range(take):
                     meets = away[:, place] <= away[:, 0] + reach
                     cell, n = pa.array(near[meets, place].astype(np.int32)), int(meets.sum())
