@@ -10,18 +10,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.proximity_graph import ProximityGraph
-from sightline.llm.vectors import classes, distinct_rows, fit_pivots, to_shards, unpacked
+from sightline.llm.vectors import ASIDE, classes, copy_rows, distinct_rows, fit_pivots, to_shards, unpacked
 from sightline.runtime import Staging
 
 DEGREE, BEAM, ALPHA, WIDTH = 24, 10, 1.1, 2
 
 
 def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
-    """Pairs of one shard: its own vectors build the graph, all its vectors search it."""
+    """Pairs of one shard: its own vectors build the graph, all its vectors search it. Copies have d2 = -1."""
+    copied, up = copy_rows(rows)
+    source, target, squared = [copied], [up], [np.full(len(copied), -1, np.int64)]
+    if len(rows) and rows["place"][0].as_py() == ASIDE:
+        return _pairs(source, target, squared)
     ids, place, x = rows["id"].to_numpy(), rows["place"].to_numpy(), unpacked(rows["vec"])
     own_ids, own = distinct_rows(ids[place == 0], x[place == 0])
     guest_ids, guests = distinct_rows(ids[place > 0], x[place > 0])
-    source, target, squared = [], [], []
     if len(own_ids):
         graph = ProximityGraph(own.astype(np.float32), DEGREE, max(BEAM, 2 * k), ALPHA, WIDTH)
         for query_ids, queries in ((own_ids, own), (guest_ids, guests)):
@@ -36,7 +39,11 @@ def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
             source.append(query_ids[r])
             target.append(known[r, c])
             squared.append(d[r, c].astype(np.int64))
-    columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (source, target, squared)]
+    return _pairs(source, target, squared)
+
+
+def _pairs(source: list, target: list, squared: list) -> pa.Table:
+    columns = [np.concatenate(c) for c in (source, target, squared)]
     return pa.table({"src": pa.array(columns[0], pa.int64()), "dst": pa.array(columns[1], pa.int64()), "d2": pa.array(columns[2], pa.int64())})
 
 
@@ -55,11 +62,12 @@ def similar_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, max
     shards = to_shards(df, id_col, vector_col, pivots, max_distance=max_distance)
     found = shards.groupBy("shard").applyInArrow(lambda rows: _search_shard(rows, k, limit), "src long, dst long, d2 long")
     found = staging.write(found)
-    both = found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d2"))
+    pairs = found.filter("d2 >= 0")
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d2"))
     nearest = Window.partitionBy("src").orderBy("d2", "dst")
     ranked = both.withColumn("r", F.dense_rank().over(nearest)).filter(F.col("r") <= k).select("src", "dst", "d2").distinct()
 
-    members, sizes = classes(df, id_col, vector_col, staging)
+    members, sizes = classes(found.filter("d2 < 0").select(F.col("src").alias("id"), F.col("dst").alias("up")))
     by_id = Window.partitionBy("rep").orderBy("id")
     first = members.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
     # the copies of each neighbour, then the copies of each source that has room beside its own copies

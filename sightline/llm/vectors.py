@@ -19,6 +19,7 @@ SAMPLE_ROWS = 16_384  # pivots are fitted on about so many vectors
 CELL_ROWS = 1_000  # vectors a cell is meant to hold, as long as there are no more than MAX_CELLS
 CELL_LIMIT = 3  # a cell with more than this many times its share of the sample is split by more pivots
 MAX_CELLS = 2_048
+ASIDE = -1  # the place of a copy that does not travel to a shard
 SPREAD = 300.0  # least distance between pivots that are not the split of a crowded cell
 
 
@@ -56,38 +57,39 @@ def distinct_rows(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ids[keep], x[keep]
 
 
-def copies(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``h1, h2, id``: a 128-bit fingerprint of each usable vector, equal for equal vectors."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64())])
-    random = np.random.RandomState(20240229)
-    odd = (random.randint(0, 2**63 - 1, size=(2, DIM // 8), dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-
-    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, x = _usable(batch.column(0), batch.column(1))
-            words = np.ascontiguousarray(x).view(np.uint64)
-            hashes = []
-            for multipliers in odd:
-                h = np.zeros(len(words), np.uint64)
-                for w in range(words.shape[1] if len(words) else 0):
-                    h = (h ^ words[:, w]) * multipliers[w]
-                    h ^= h >> np.uint64(29)
-                hashes.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), pa.array(ids, pa.int64())], schema=schema)
-
-    return df.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(fingerprint, "h1 long, h2 long, id long")
-
-
-def classes(df: DataFrame, id_col: str, vector_col: str, staging) -> tuple[DataFrame, DataFrame]:
-    """Groups of exact copies: ``id, rep`` of each member, and ``rep, size``; only groups of two or more.
-
-    The smallest id stands for its group. Minima and sizes are combined on the map side.
+def stand_ins(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of each row the smallest id that has the same vector."""
+    if not len(ids):
+        return ids
+    _, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, DIM))).ravel(), return_inverse=True)
+    least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group.ravel(), ids)
+    return least[group.ravel()]
+
+
+def copy_rows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the smaller ids they are copies of: those that were set aside before the shards, or the copies
+    among a shard's own vectors, which came from different batches."""
+    ids, place = rows["id"].to_numpy(), rows["place"].to_numpy()
+    if len(ids) and place[0] == ASIDE:
+        return ids, np.frombuffer(b"".join(rows["vec"].to_pylist()), np.int64)
+    own = place == 0
+    least = stand_ins(ids[own], unpacked(rows["vec"])[own]) if own.any() else ids[:0]
+    copied = least != ids[own]
+    return ids[own][copied], least[copied]
+
+
+def classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of exact copies from ``id, up`` rows: ``id, rep`` of each member, and ``rep, size``.
+
+    A copy may name a stand-in of its batch that itself names the smallest id of all; two steps always reach
+    it. Minima and sizes are combined on the map side.
     """
-    marks = staging.write(copies(df, id_col, vector_col).distinct())
-    groups = marks.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = staging.write(marks.join(groups, ["h1", "h2"]).select("id", "rep", "size"))
-    staging.drop(marks)
-    return members.select("id", "rep"), members.filter("id = rep").select("rep", "size")
+    up = found.select("id", "up").distinct()
+    further = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+    reps = up.join(further, "up", "left").groupBy("id").agg(F.min(F.coalesce("top", "up")).alias("rep"))
+    members = reps.unionByName(reps.select(F.col("rep").alias("id"), "rep").distinct())
+    return members, reps.groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("size"))
 
 
 def fit_pivots(df: DataFrame, id_col: str, vector_col: str) -> np.ndarray:
@@ -139,7 +141,8 @@ def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: np.ndarray, n
     off than the nearest: by the triangle inequality no vector of that cell is then within it.
 
     Copies within a batch go once, under their smallest id, so a group of copies of any size reaches a
-    shard as one row for each batch.
+    shard as one row for each batch. The others are set aside, with that id in place of the vector, in
+    groups of their own that are no larger than a batch.
     """
     shared = df.sparkSession.sparkContext.broadcast(pivots)
     reach = np.inf if max_distance is None else 2 * max_distance + 1e-3
@@ -149,7 +152,14 @@ def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: np.ndarray, n
         p = shared.value
         norms = np.einsum("ij,ij->i", p, p)
         for batch in batches:
-            ids, x = distinct_rows(*_usable(batch.column(0), batch.column(1)))
+            every, vectors = _usable(batch.column(0), batch.column(1))
+            least = stand_ins(every, vectors)
+            copied = least != every
+            if copied.any():
+                n, group = int(copied.sum()), -1 - int(every[0] * 2654435761 % (2**31 - 1))
+                columns = [pa.array(np.full(n, group, np.int32)), pa.array(np.full(n, ASIDE, np.int32)), pa.array(every[copied], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, packed(least[copied].reshape(-1, 1).view(np.uint8))], schema=schema)
+            ids, x = distinct_rows(every, vectors)
             for s in range(0, len(ids), 4096):
                 i, v = ids[s : s + 4096], x[s : s + 4096]
                 d = norms[None] - 2 * (v.astype(np.float32) @ p.T)
