@@ -32,10 +32,18 @@ def hamming_distance(a: Column, b: Column) -> Column:
 
 def root_normalise(a: Column, eps: float = 1e-12) -> Column:
     """Square root of the L1-normalised magnitudes, then L2-normalised."""
+    def over(vector: Column, size: Column, step) -> Column:
+        """``step(element, size)`` of each element, the size being taken once."""
+        bound = F.array(F.struct(vector.alias("a"), size.alias("n")))
+        return F.transform(bound, lambda s: F.transform(s["a"], lambda x: step(x, s["n"])))[0]
+
     l1 = _sum(F.transform(a, lambda x: F.abs(x.cast("double"))))
-    rooted = F.transform(a, lambda x: F.sqrt(F.abs(x.cast("double")) / (l1 + eps)))
-    l2 = F.sqrt(_sum(F.transform(rooted, lambda x: x * x)))
-    return F.transform(rooted, lambda x: x / (l2 + eps))
+    rooted = over(a, l1, lambda x, n: F.sqrt(F.abs(x.cast("double")) / (n + eps)))
+
+    def to_unit(r: Column) -> Column:
+        return over(r, F.sqrt(_sum(F.transform(r, lambda x: x * x))), lambda x, n: x / (n + eps))
+
+    return F.transform(F.array(rooted), to_unit)[0]
 
 
 def upper_median(values: Column) -> Column:

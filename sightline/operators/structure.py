@@ -38,7 +38,7 @@ def poses(images: DataFrame) -> DataFrame:
         return (F.size(v) == n) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))
 
     good = F.coalesce(finite(F.col("qvec"), 4) & finite(F.col("tvec"), 3), F.lit(False))
-    kept = rows.filter(good).select(F.col("image_id").alias("view_id"), "name", "camera_id", g.normalise_quaternion(F.col("qvec")).alias("q"), F.col("tvec").alias("t"))
+    kept = rows.filter(good).select(F.col("image_id").alias("view_id"), "name", "camera_id", g.normalise_quaternion(F.when(good, F.col("qvec"))).alias("q"), F.when(good, F.col("tvec")).alias("t"))
     return kept.filter("q IS NOT NULL").withColumn("r", g.quaternion_to_rotation(F.col("q"), normalise=False))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("reports", "model", "integrity")
+MODULES = ("reports", "model", "graphs", "integrity")
 
 
 def _parts():
