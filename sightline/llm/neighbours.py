@@ -33,7 +33,7 @@ def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
             near, d = graph.search_own() if queries is own else graph.search(queries.astype(np.float32))
             known = np.append(own_ids, -1)[near]
             d = np.where(np.isfinite(d), np.rint(d), np.inf)
-            other = (known != query_ids[:, None]) & (d <= limit)
+            other = (known != query_ids[:, None]) & np.isfinite(d) & (d <= limit)
             rank = np.cumsum(other, axis=1)
             r, c = np.nonzero(other & ((rank <= k) | (d <= np.where(rank == k, d, -1).max(1)[:, None])))
             source.append(query_ids[r])
