@@ -104,14 +104,14 @@ def _prune(found: dict[frozenset[str], dict[str, int]], support: dict[frozenset[
 
 
 def learn_rules(
-    documents: DataFrame, labels: DataFrame, subjects: list[str], max_labelled: int = 20_000, items_per_sentence: int = 6, least_support: int = 4, least_confidence: float = 0.55
+    documents: DataFrame, labels: DataFrame, subjects: list[str], max_labelled: int = 20_000, items_per_sentence: int = 6, least_support: int = 4, least_documents: int = 3, least_confidence: float = 0.55
 ) -> Rules:
     """Rules from documents with one label, ``""`` being the label of those without an area.
 
     At most ``max_labelled`` labelled documents are used, chosen by a hash of their id, so all that
     reaches the driver is bounded by that parameter. Labels are compared in lower case without blanks;
-    unknown ones are left out. Of each sentence the ``items_per_sentence`` most telling items become a
-    transaction. A fifth of the documents, by another hash, is kept for the calibration.
+    unknown ones are left out. Of each sentence the ``items_per_sentence`` most telling items of
+    ``least_documents`` documents or more become a transaction. A fifth of the documents, by another hash, is kept for the calibration.
     """
     spark = documents.sparkSession
     staging = Staging(spark, "rules")
@@ -122,8 +122,9 @@ def learn_rules(
     rows = _sentence_rows(documents.select("doc_id", "text").join(chosen, "doc_id"))
     rows = staging.write(rows.withColumn("held", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("held")), F.lit(5)) == 0))
     mined = rows.filter(~F.col("held"))
-    counts = mined.select("label", F.explode("items").alias("item")).groupBy("item", "label").agg(F.count(F.lit(1)).alias("n"))
-    per_item = counts.groupBy("item").agg(F.sum("n").alias("all"), F.max(F.when(F.col("label") != "", F.col("n"))).alias("top")).filter(F.col("all") >= least_support)
+    counts = mined.select("doc_id", "label", F.explode("items").alias("item")).groupBy("item", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    per_item = counts.groupBy("item").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs"), F.max(F.when(F.col("label") != "", F.col("n"))).alias("top"))
+    per_item = per_item.filter((F.col("all") >= least_support) & (F.col("docs") >= least_documents))
     telling = {r["item"]: (r["top"] / (r["all"] + 1.0), r["all"]) for r in per_item.filter(F.col("top") >= 0.2 * F.col("all")).collect()}
     rules = Rules()
     if not telling:
@@ -172,7 +173,8 @@ def calibrate(rules: Rules, held: DataFrame) -> None:
         b = bins.setdefault(math.floor(score * 20) / 20, [0, 0])
         b[0] += right
         b[1] += 1
-    blocks = [[at, hits + 1.0, total + 2.0] for at, (hits, total) in sorted(bins.items())]
+    # a bin begins with two sentences that bear its confidence out, so few held-out sentences do not outvote the rules
+    blocks = [[at, hits + 2.0 * (at + 0.025), total + 2.0] for at, (hits, total) in sorted(bins.items())]
     merged: list[list[float]] = []
     for block in blocks:  # pool neighbours that are out of order
         merged.append(block)
