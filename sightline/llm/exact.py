@@ -9,7 +9,7 @@ vectors is at least that of their projections on a few orthonormal directions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,20 +49,35 @@ def one_block(files: list[str], unit: tuple[int, int, int, int], columns: list[s
     return _columns(_opened(files[n]).read_row_group(group, columns=[*columns, "vec"]).slice(start, end - start))
 
 
-def read(files: list[str], columns: list[str]) -> Iterator[tuple[tuple[int, int, int], dict[str, np.ndarray]]]:
-    """The place and columns of all stretches of the table, one after another."""
-    for n, uri in enumerate(files):
-        file = _opened(uri)
-        for g in range(file.num_row_groups):
+def read(files: list[str], columns: list[str], unit: tuple[int, int, int, int] = (0, 0, 0, 0)) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of all stretches of the table from a block on, one after another."""
+    for n in range(unit[0], len(files)):
+        file = _opened(files[n])
+        for g in range(unit[1] if n == unit[0] else 0, file.num_row_groups):
             rows = file.read_row_group(g, columns=[*columns, "vec"])
             for s in range(0, len(rows), BLOCK):
-                yield (n, g, s), _columns(rows.slice(s, BLOCK))
+                if (n, g) > unit[:2] or s + BLOCK > unit[2]:
+                    yield _columns(rows.slice(s, BLOCK))
+
+
+def each_block(staged: DataFrame, work: Callable[[list[str], tuple[int, int, int, int]], Iterator[pa.Table]], schema: str) -> DataFrame:
+    """Rows that ``work`` gives for each block of a staged table, a task for each."""
+    spark = staged.sparkSession
+    files, blocks = units(staged)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                for rows in work(files, blocks[n]):
+                    yield from rows.to_batches()
+
+    return spark.range(0, len(blocks), 1, max(1, len(blocks))).mapInArrow(run, schema)
 
 
 class Bound:
-    """Orthonormal directions in which most pivots are further apart than ``limit`` (squared)."""
+    """Orthonormal directions in which all but a ``share`` of the pivots' pairs are further apart than ``limit`` (squared)."""
 
-    def __init__(self, pivots: np.ndarray, limit: float):
+    def __init__(self, pivots: np.ndarray, limit: float, share: float = 1e-3):
         self.pivots, self.mean = pivots.astype(np.float32), pivots.mean(0).astype(np.float32)
         centred = pivots.astype(np.float64) - pivots.mean(0)
         basis = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
@@ -72,7 +87,7 @@ class Bound:
             y = sample[:, :dims]
             norm = (y * y).sum(1)
             near = (norm[:, None] + norm[None] - 2 * y @ y.T <= limit).sum() - len(y)
-            if len(y) > 16 and near <= 1e-3 * len(y) ** 2:
+            if len(y) > 16 and near <= share * len(y) ** 2:
                 self.dims = dims
                 break
         self.basis = np.ascontiguousarray(basis[:, : self.dims]).astype(np.float32)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.exact import Bound, Queries, one_block, read, runs, units
+from sightline.llm.exact import Bound, Queries, each_block, one_block, read, runs
 from sightline.llm.proximity_graph import ProximityGraph
 from sightline.llm.vectors import ASIDE, classes, copy_rows, distinct_rows, fit_pivots, packed, to_shards, unpacked
 from sightline.runtime import Staging
@@ -67,7 +66,7 @@ def _nearest_of_block(files: list[str], unit: tuple[int, int, int, int], bound:
     block = one_block(files, unit, ["id", "kth"])
     queries = Queries(bound, block["vec"], block["kth"])
     best = _Nearest(queries, block["id"], k)
-    for _, other in read(files, ["id", "shard"]):
+    for other in read(files, ["id", "shard"]):
         for cell, start, end in runs(other["shard"]):
             rows = queries.reach(cell)
             if len(rows):
@@ -93,15 +92,9 @@ def similar_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, max
     pivots = fit_pivots(df, id_col, vector_col)
     shards = to_shards(df, id_col, vector_col, pivots, nearest=1)
     found = staging.write(shards.groupBy("shard").applyInArrow(lambda rows: _search_shard(rows, k, limit), FOUND))
-    files, blocks = units(found)
     shared = spark.sparkContext.broadcast(Bound(pivots, limit))
+    ranked = staging.write(each_block(found, lambda files, unit: iter([_nearest_of_block(files, unit, shared.value, k)]), "src long, dst long, d2 long"))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n in batch.column(0).to_pylist():
-                yield from _nearest_of_block(files, blocks[n], shared.value, k).to_batches()
-
-    ranked = staging.write(spark.range(0, len(blocks), 1, max(1, len(blocks))).mapInArrow(search, "src long, dst long, d2 long"))
     members, sizes = classes(found.filter("vec IS NULL").select("id", "up"))
     by_id = Window.partitionBy("rep").orderBy("id")
     first = members.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)

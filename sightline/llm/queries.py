@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.clusters import describe_clusters, similarity_clusters
+from sightline.llm.clusters import cluster_members, describe_clusters, similarity_clusters
 from sightline.llm.components import connected_components, keypoint_links
 from sightline.llm.leakage import find_leaks
 from sightline.llm.neighbours import similar_vectors
@@ -39,7 +39,8 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir).select(F.col("id").alias("kp_id"), "cluster_id")
+    members = cluster_members(table(spark, sf_dir, "descriptors").select("kp_id", "descriptor"), "kp_id", "descriptor")
+    return members.select(F.col("id").alias("kp_id"), "cluster_id")
 
 
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 import numpy as np
 
-from sightline.llm import exact, neighbours, vectors
-from test_training_data import nearest_pairs, usable
+from sightline.llm import clusters, exact, neighbours, vectors
+from test_training_data import closed_sets, nearest_pairs, usable
 
 
 def frame(spark, x, repeat=()):
@@ -30,3 +30,44 @@ def test_dense_region_over_many_cells(spark, monkeypatch):
     want = {(a, b, d) for a, near in nearest_pairs(usable(data), 5, 120.0).items() for b, d in near}
     got = {(r["id"], r["neighbour"], r["squared_distance"]) for r in neighbours.similar_vectors(df, "kp_id", "descriptor", 5, 120.0).collect()}
     assert got == want
+
+
+def chains(seed=6, n=12, length=12):
+    """Chains whose neighbours are 230 apart in random directions, and single vectors."""
+    r = np.random.RandomState(seed)
+    out = [r.exponential(45, (150, 128))]
+    for _ in range(n):
+        step = r.normal(size=(length, 128))
+        out.append(r.uniform(90, 150, 128) + np.cumsum(230 * step / np.linalg.norm(step, axis=1)[:, None], axis=0))
+    return np.clip(np.concatenate(out), 0, 255).round().astype(int)
+
+
+def test_chains_of_single_links_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 10)
+    monkeypatch.setattr(exact, "BLOCK", 64)
+    data, df = frame(spark, chains(), (150, 200))
+    want = closed_sets(usable(data), 240.0, 8)
+    assert len(want) > 100 and len({c for _, c in want}) > 5
+    assert {(r["id"], r["cluster_id"]) for r in clusters.similarity_clusters(df, "kp_id", "descriptor").collect()} == want
+
+
+def test_one_cluster_over_many_cells_is_described_whole(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 10)
+    monkeypatch.setattr(exact, "BLOCK", 64)
+    x = np.concatenate([dense_and_other(n=120), chains(n=6)])
+    data, df = frame(spark, x)
+    assert len(vectors.fit_pivots(df, "kp_id", "descriptor")) >= 20
+    points = usable(data)
+    groups = {}
+    for i, c in sorted(closed_sets(points, 240.0, 8)):
+        groups.setdefault(c, []).append(i)
+    want = set()
+    for c, ids in groups.items():
+        degree, centre = clusters._describe(np.array([points[i] for i in ids], np.uint8), np.zeros(len(ids), int), 240.0**2)
+        want |= {(i, c, int(d), ids[m]) for i, d, m in zip(ids, degree, centre)}
+    parts = {c: len({m for _, k, _, m in want if k == c}) for c in groups}
+    assert parts[100] == 1 and len(groups[100]) == 120 and max(parts.values()) > 1
+    for together in (4096, 9):  # by one task each, and by blocks and joins
+        found = clusters.similarity_clusters(df, "kp_id", "descriptor", together=together)
+        assert {tuple(r) for r in found.collect()} == want
+    assert {r["cluster_id"]: r["n_parts"] for r in clusters.describe_clusters(found).collect()} == parts
