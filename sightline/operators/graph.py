@@ -42,6 +42,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
         if tuple(sums) == before:
             break
         before = tuple(sums)
+    else:
+        raise RuntimeError(f"links still change after {max_rounds} rounds")
     return vertices.join(links.select(F.col("v").alias("id"), F.col("u").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

@@ -120,4 +120,7 @@ def orphan_cascade(direct: DataFrame, links: Sequence[Link], max_rounds: int = 5
         if not tables:
             break
         known = known.unionByName(fresh)
+    else:
+        if tables:
+            raise RuntimeError(f"orphans are left after {max_rounds} rounds")
     return known.select("tbl", "id", F.when(F.col("depth") == 0, F.lit("direct")).otherwise(F.lit("inherited")).alias("kind"), "depth")
