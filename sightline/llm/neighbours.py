@@ -1,4 +1,9 @@
-"""The most similar vectors of every vector: a robust-pruned proximity graph in each shard, then every cell in reach."""
+"""The most similar vectors of every vector, by a robust-pruned proximity graph in each shard.
+
+With ``exact`` the graph only bounds how far each vector must look, and every cell that may hold a vector so
+near is then compared whole. That is quadratic work where vectors have no near neighbours; it serves to
+measure what the graphs find.
+"""
 
 from __future__ import annotations
 
@@ -17,10 +22,41 @@ from sightline.runtime import Staging
 DEGREE, BEAM, ALPHA, WIDTH = 24, 10, 1.1, 2
 
 
+def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
+    """Pairs of one shard: its own vectors build the graph, all its vectors search it. Copies have d2 = -1."""
+    copied, up = copy_rows(rows)
+    source, target, squared = [copied], [up], [np.full(len(copied), -1, np.int64)]
+    if len(rows) and rows["place"][0].as_py() == ASIDE:
+        return _pairs(source, target, squared)
+    ids, place, x = rows["id"].to_numpy(), rows["place"].to_numpy(), unpacked(rows["vec"])
+    own_ids, own = distinct_rows(ids[place == 0], x[place == 0])
+    guest_ids, guests = distinct_rows(ids[place > 0], x[place > 0])
+    if len(own_ids):
+        graph = ProximityGraph(own.astype(np.float32), DEGREE, max(BEAM, 2 * k), ALPHA, WIDTH)
+        for query_ids, queries in ((own_ids, own), (guest_ids, guests)):
+            if not len(query_ids):
+                continue
+            near, d = graph.search_own() if queries is own else graph.search(queries.astype(np.float32))
+            known = np.append(own_ids, -1)[near]
+            d = np.where(np.isfinite(d), np.rint(d), np.inf)
+            other = (known != query_ids[:, None]) & np.isfinite(d) & (d <= limit)
+            rank = np.cumsum(other, axis=1)
+            r, c = np.nonzero(other & ((rank <= k) | (d <= np.where(rank == k, d, -1).max(1)[:, None])))
+            source.append(query_ids[r])
+            target.append(known[r, c])
+            squared.append(d[r, c].astype(np.int64))
+    return _pairs(source, target, squared)
+
+
+def _pairs(source: list, target: list, squared: list) -> pa.Table:
+    columns = [np.concatenate(c) for c in (source, target, squared)]
+    return pa.table({"src": pa.array(columns[0], pa.int64()), "dst": pa.array(columns[1], pa.int64()), "d2": pa.array(columns[2], pa.int64())})
+
+
 FOUND = "id long, up long, shard int, kth double, vec binary"
 
 
-def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
+def _bound_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
     """The distinct vectors of one shard and the squared distance within which their ``k`` nearest lie, as far
     as the shard's graph shows. Copies have no vector and name the id they are copies of."""
     copied, up = copy_rows(rows)
@@ -29,7 +65,7 @@ def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
         ids, x = distinct_rows(rows["id"].to_numpy(), unpacked(rows["vec"]))
         near, d = ProximityGraph(x.astype(np.float32), DEGREE, max(BEAM, 2 * k), ALPHA, WIDTH).search_own()
         d = np.sort(np.where(near < len(ids), d, np.inf), axis=1)[:, k - 1]
-        parts.append(_found(ids, ids, rows["shard"][0].as_py(), np.minimum(np.rint(d), limit), packed(x)))
+        parts.append(_found(ids, ids, rows["shard"][0].as_py() >> 20, np.minimum(np.rint(d), limit), packed(x)))
     return pa.concat_tables(parts)
 
 
@@ -76,26 +112,34 @@ def _nearest_of_block(files: list[str], unit: tuple[int, int, int, int], bound:
     return pa.table({"src": pa.array(block["id"][r], pa.int64()), "dst": pa.array(best.near[r, c], pa.int64()), "d2": pa.array(best.d[r, c].astype(np.int64))})
 
 
-def similar_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, max_distance: float | None = None) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, max_distance: float | None = None, exact: bool = False) -> DataFrame:
     """``id, neighbour, squared_distance, rank``: the ``k`` nearest other ids of each id, as far as found.
 
     Distances are exact; of equal ones the smaller id is nearer. ``max_distance`` drops neighbours further
     away. Unusable vectors (see :mod:`vectors`) have no rows and are nobody's neighbour; repeated rows count
-    once; an empty table gives no rows; other columns are ignored. A vector is indexed in the cell of its
-    nearest pivot, whose graph shows how far its ``k`` nearest are at most; every cell that may hold a vector
-    so near is then searched whole (see :mod:`exact`), so no neighbour is lost. Exact copies are one vector
-    in the graph and are put back afterwards: each copy has the other copies nearest.
+    once; an empty table gives no rows; other columns are ignored. A vector is indexed in the graph of its own
+    cell and searches that of every cell it visits; a pair found from either side counts for both. With
+    ``exact`` no neighbour is lost. Exact copies are one vector in the graph and are put back afterwards: each
+    copy has the other copies nearest.
     """
-    spark = df.sparkSession
-    staging = Staging(spark, "neighbours")
+    staging = Staging(df.sparkSession, "neighbours")
     limit = math.inf if max_distance is None else float(max_distance) ** 2
     pivots = fit_pivots(df, id_col, vector_col)
-    shards = to_shards(df, id_col, vector_col, pivots, nearest=1)
-    found = staging.write(shards.groupBy("shard").applyInArrow(lambda rows: _search_shard(rows, k, limit), FOUND))
-    shared = spark.sparkContext.broadcast(Bound(pivots, limit))
-    ranked = staging.write(each_block(found, lambda files, unit: iter([_nearest_of_block(files, unit, shared.value, k)]), "src long, dst long, d2 long"))
-
-    members, sizes = classes(found.filter("vec IS NULL").select("id", "up"))
+    if exact:
+        pivots = pivots.flat()
+        shards = to_shards(df, id_col, vector_col, pivots, visits=1)
+        bounded = staging.write(shards.groupBy("shard").applyInArrow(lambda rows: _bound_shard(rows, k, limit), FOUND))
+        shared = df.sparkSession.sparkContext.broadcast(Bound(pivots.points, limit))
+        ranked = staging.write(each_block(bounded, lambda files, unit: iter([_nearest_of_block(files, unit, shared.value, k)]), "src long, dst long, d2 long"))
+        members, sizes = classes(bounded.filter("vec IS NULL").select("id", "up"))
+    else:
+        shards = to_shards(df, id_col, vector_col, pivots, max_distance)
+        found = staging.write(shards.groupBy("shard").applyInArrow(lambda rows: _search_shard(rows, k, limit), "src long, dst long, d2 long"))
+        pairs = found.filter("d2 >= 0")
+        both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d2"))
+        nearest = Window.partitionBy("src").orderBy("d2", "dst")
+        ranked = both.withColumn("r", F.dense_rank().over(nearest)).filter(F.col("r") <= k).select("src", "dst", "d2").distinct()
+        members, sizes = classes(found.filter("d2 < 0").select(F.col("src").alias("id"), F.col("dst").alias("up")))
     by_id = Window.partitionBy("rep").orderBy("id")
     first = members.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
     # the copies of each neighbour, then the copies of each source that has room beside its own copies

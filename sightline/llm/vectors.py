@@ -2,12 +2,15 @@
 
 A descriptor is usable if it has ``DIM`` values, none null, all from 0 to 255 and not all zero. Usable ones
 travel as bytes. Shards are the cells of pivots, which are fitted on a bounded sample; every vector is then
-indexed. Each vector goes to the cells of its nearest pivots, so near vectors meet in one of them.
+indexed. Each vector belongs to the cell of its nearest pivot and visits the cells beyond the planes it is
+near to, so near vectors meet in a cell of one of them. No cell grows with the table: a crowded one is
+divided by pivots of its own, and one that no pivots divide is dealt into parts, each of which is visited.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIM = 128
-SAMPLE_ROWS = 16_384  # pivots are fitted on about so many vectors
-CELL_ROWS = 1_000  # vectors a cell is meant to hold, as long as there are no more than MAX_CELLS
-CELL_LIMIT = 3  # a cell with more than this many times its share of the sample is split by more pivots
-MAX_CELLS = 2_048
+SAMPLE_ROWS, MOST_SAMPLED = 16_384, 262_144  # pivots are fitted on a 500th of the rows, within these bounds
+CELL_ROWS = 1_000  # vectors to a pivot, as long as that takes no more than MOST_PIVOTS
+MOST_PIVOTS = 2_048
+DIVIDED_ROWS, INNER_ROWS = 8_000, 4_000  # a cell with more vectors gets a pivot of its own for so many each
+MOST_INNER = 65_536
+PART_ROWS = 16_000  # a cell that still has more vectors is dealt into parts of so many
+VISITS, CROWDED_VISITS = 3, 4  # cells of a vector, its own included
+MARGIN = 0.25  # a vector visits a cell if the plane before it is no further than this share of the greatest distance
+SHARD_ROWS = 40_000  # vectors to a task of the shards
 ASIDE = -1  # the place of a copy that does not travel to a shard
 SPREAD = 300.0  # least distance between pivots that are not the split of a crowded cell
 
@@ -92,14 +100,69 @@ def classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, reps.groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("size"))
 
 
-def fit_pivots(df: DataFrame, id_col: str, vector_col: str) -> np.ndarray:
-    """Pivots from a sample of about ``SAMPLE_ROWS`` rows, taken by a hash of the id.
-
-    Pivots are vectors of the sample at least ``SPREAD`` apart; a cell that holds more than its share of the
-    sample gets pivots of its own, so a dense region is divided and no cell grows with it.
+@dataclass
+class Pivots:
+    """``points`` are the pivots a vector looks for first; those of a divided cell are in ``inner``, under numbers that follow."""
+
+    points: np.ndarray
+    inner: dict[int, np.ndarray] = field(default_factory=dict)
+    parts: dict[int, int] = field(default_factory=dict)
+    rows: int = 0
+
+    def __post_init__(self) -> None:
+        self.norms = np.einsum("ij,ij->i", self.points, self.points)
+        self.first, at = {}, len(self.points)
+        for cell in sorted(self.inner):
+            self.first[cell] = at
+            at += len(self.inner[cell])
+        self.every = np.concatenate([self.points, *(self.inner[c] for c in sorted(self.inner))])
+
+    def flat(self) -> Pivots:
+        """All pivots as one level, so that every vector stands in the cell of the nearest of all."""
+        return Pivots(self.every, rows=self.rows)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of the nearest pivots of each row, nearest first, and squared distances less the row's own norm;
+        infinite where a row has no further cell."""
+        d = self.norms[None] - 2 * (x @ self.points.T)
+        take = min(VISITS, len(self.points))
+        cells = np.argpartition(d, take - 1, axis=1)[:, :take]
+        away = np.take_along_axis(d, cells, 1)
+        if self.inner:
+            cells, away = self._divided(x, cells, away)
+        order = np.argsort(away, axis=1, kind="stable")[:, :CROWDED_VISITS]
+        return np.take_along_axis(cells, order, 1), np.take_along_axis(away, order, 1)
+
+    def _divided(self, x: np.ndarray, cells: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with inner cells in place of divided ones; only a row in the midst of a crowd has more than ``VISITS``."""
+        width = CROWDED_VISITS
+        wide, far = np.repeat(cells, width, axis=1), np.full((len(x), cells.shape[1] * width), np.inf, np.float32)
+        far[:, ::width] = away
+        for cell, points in self.inner.items():
+            row, place = np.nonzero(cells == cell)
+            if not len(row):
+                continue
+            d = np.einsum("ij,ij->i", points, points)[None] - 2 * (x[row] @ points.T)
+            take = min(width, len(points))
+            best = np.argpartition(d, take - 1, axis=1)[:, :take]
+            at = (place * width)[:, None] + np.arange(take)
+            wide[row[:, None], at] = self.first[cell] + best
+            far[row[:, None], at] = np.take_along_axis(d, best, 1)
+        order = np.argsort(far, axis=1, kind="stable")[:, :width]
+        wide, far = np.take_along_axis(wide, order, 1), np.take_along_axis(far, order, 1)
+        far[wide[:, 0] < len(self.points), VISITS:] = np.inf
+        return wide, far
+
+
+def fit_pivots(df: DataFrame, id_col: str, vector_col: str) -> Pivots:
+    """Pivots from a sample of rows, taken by a hash of the id.
+
+    Pivots are vectors of the sample at least ``SPREAD`` apart. The share of the sample in a cell tells how
+    many vectors it will hold: a cell of more than ``DIVIDED_ROWS`` gets inner pivots, and what still holds
+    more than ``PART_ROWS`` is dealt into parts. Sample and pivots are bounded by the constants above.
     """
     total = df.count()
-    every = max(1, total // SAMPLE_ROWS)
+    every = max(1, total // min(MOST_SAMPLED, max(SAMPLE_ROWS, total // 500)))
     mark = F.xxhash64(F.col(id_col).cast("long"))
     rows = df.filter(F.pmod(mark, F.lit(every)) == 0).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).toArrow()
     ids, x = [], []
@@ -108,73 +171,81 @@ def fit_pivots(df: DataFrame, id_col: str, vector_col: str) -> np.ndarray:
         ids.append(i)
         x.append(v)
     if not ids or not sum(map(len, ids)):
-        return np.zeros((1, DIM), np.float32)
+        return Pivots(np.zeros((1, DIM), np.float32), rows=total)
     ids, x = distinct_rows(np.concatenate(ids), np.concatenate(x))
     x = x[np.random.RandomState(11).permutation(len(x))].astype(np.float32)
-    cells = int(min(MAX_CELLS, max(1, -(-total // CELL_ROWS))))
+    cells = int(min(MOST_PIVOTS, max(1, -(-total // CELL_ROWS))))
     norms = np.einsum("ij,ij->i", x, x)
-
-    def to(p: np.ndarray) -> np.ndarray:
-        return norms + p @ p - 2 * (x @ p)
-
     pivots, nearest, owner = [], np.full(len(x), np.inf), np.zeros(len(x), int)
     for i in range(len(x)):
         if len(pivots) >= cells:
             break
         if nearest[i] > SPREAD**2:
-            d = to(x[i])
+            d = norms + norms[i] - 2 * (x @ x[i])
             owner[d < nearest] = len(pivots)
             nearest = np.minimum(nearest, d)
             pivots.append(i)
-    limit = max(8.0, CELL_LIMIT * len(x) / max(cells, 1))
+    inner: dict[int, np.ndarray] = {}
+    left = MOST_INNER
     sizes = np.bincount(owner, minlength=len(pivots))
-    for cell in np.flatnonzero(sizes > limit):
-        inside = np.flatnonzero(owner == cell)
-        pivots.extend(inside[: int(2 * len(inside) / limit)].tolist())
-    return x[sorted(set(pivots))]
-
-
-def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: np.ndarray, nearest: int = 2, max_distance: float | None = None) -> DataFrame:
-    """``shard, place, id, vec``: each vector in the cells of its nearest pivots, 0 being its own.
-
-    With a ``max_distance`` a further cell is left out if its pivot is more than twice that distance further
-    off than the nearest: by the triangle inequality no vector of that cell is then within it.
+    for cell in np.argsort(-sizes, kind="stable").tolist():
+        take = min(left, int(sizes[cell]), -(-int(sizes[cell]) * every // INNER_ROWS))
+        if sizes[cell] * every > DIVIDED_ROWS and take > 1:
+            inner[cell] = x[np.flatnonzero(owner == cell)[:take]]
+            left -= take
+    found = Pivots(x[pivots], inner, rows=total)
+    held = np.zeros(len(found.every), np.int64)
+    for s in range(0, len(x), 4096):
+        held += np.bincount(found.nearest(x[s : s + 4096])[0][:, 0], minlength=len(held))
+    found.parts = {int(c): int(-(-held[c] * every // PART_ROWS)) for c in np.flatnonzero(held * every > PART_ROWS)}
+    return found
+
+
+def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: Pivots, max_distance: float | None = None, visits: int = CROWDED_VISITS) -> DataFrame:
+    """``shard, place, id, vec``: each vector in its own cell, at place 0, and as a visitor in those it is near to.
+
+    A vector visits the cells of its nearest pivots, ``VISITS`` with its own (``CROWDED_VISITS`` in a divided
+    cell); with a ``max_distance``, only those whose dividing plane is within ``MARGIN`` of it. Two vectors
+    with a plane between them meet if either visits, so a pair is lost only if it stands across more planes
+    than that, or straight across one with both ends far from it. In a cell of several parts a vector stands in
+    one and visits the others.
 
     Copies within a batch go once, under their smallest id, so a group of copies of any size reaches a
     shard as one row for each batch. The others are set aside, with that id in place of the vector, in
     groups of their own that are no larger than a batch.
     """
     shared = df.sparkSession.sparkContext.broadcast(pivots)
-    reach = np.inf if max_distance is None else 2 * max_distance + 1e-3
-    schema = pa.schema([("shard", pa.int32()), ("place", pa.int32()), ("id", pa.int64()), ("vec", pa.binary())])
+    reach = np.inf if max_distance is None else MARGIN * max_distance
+    schema = pa.schema([("shard", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("vec", pa.binary())])
+
+    def rows_of(shard: np.ndarray, place: np.ndarray, ids: np.ndarray, vec: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(place.astype(np.int32)), pa.array(ids, pa.int64()), vec], schema=schema)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        norms = np.einsum("ij,ij->i", p, p)
         for batch in batches:
             every, vectors = _usable(batch.column(0), batch.column(1))
             least = stand_ins(every, vectors)
             copied = least != every
             if copied.any():
                 n, group = int(copied.sum()), -1 - int(every[0] * 2654435761 % (2**31 - 1))
-                columns = [pa.array(np.full(n, group, np.int32)), pa.array(np.full(n, ASIDE, np.int32)), pa.array(every[copied], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, packed(least[copied].reshape(-1, 1).view(np.uint8))], schema=schema)
+                yield rows_of(np.full(n, group), np.full(n, ASIDE), every[copied], packed(least[copied].reshape(-1, 1).view(np.uint8)))
             ids, x = distinct_rows(every, vectors)
             for s in range(0, len(ids), 4096):
                 i, v = ids[s : s + 4096], x[s : s + 4096]
-                d = norms[None] - 2 * (v.astype(np.float32) @ p.T)
-                take = min(nearest, len(p))
-                near, at = np.zeros((len(i), take), np.int64), np.arange(len(i))
-                found = np.zeros((len(i), take), np.float32)
-                for place in range(take):
-                    near[:, place] = d.argmin(1)
-                    found[:, place] = d[at, near[:, place]]
-                    d[at, near[:, place]] = np.inf
-                own = np.einsum("ij,ij->i", v.astype(np.float32), v.astype(np.float32))
-                away = np.sqrt(np.maximum(found + own[:, None], 0))
-                for place in range(take):
-                    meets = away[:, place] <= away[:, 0] + reach
-                    cell, n = pa.array(near[meets, place].astype(np.int32)), int(meets.sum())
-                    yield pa.RecordBatch.from_arrays([cell, pa.array(np.full(n, place, np.int32)), pa.array(i[meets], pa.int64()), packed(v[meets])], schema=schema)
-
-    return df.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(assign, "shard int, place int, id long, vec binary")
+                cells, away = p.nearest(v.astype(np.float32))
+                for place in range(min(visits, cells.shape[1])):
+                    cell = cells[:, place]
+                    meets = np.isfinite(away[:, place])
+                    if place and np.isfinite(reach):
+                        between = np.linalg.norm(p.every[cell] - p.every[cells[:, 0]], axis=1)
+                        meets &= away[:, place] - away[:, 0] <= 2 * between * reach + 1e-3
+                    number = np.array([p.parts.get(c, 1) for c in cell.tolist()]) if p.parts else np.ones(len(i), int)
+                    mark = v.astype(np.int64) @ np.arange(1, DIM + 1) if p.parts else i  # copies have the same
+                    for part in range(int(number[meets].max(initial=0))):
+                        there = meets & (part < number)
+                        stands = mark[there] % number[there] == part
+                        yield rows_of(cell[there] * np.int64(1 << 20) + part, np.where(stands & (place == 0), 0, max(place, 1)), i[there], packed(v[there]))
+
+    assigned = df.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(assign, "shard long, place int, id long, vec binary")
+    return assigned.repartition(max(8, -(-pivots.rows * VISITS // (2 * SHARD_ROWS))), "shard")

@@ -24,11 +24,13 @@ def test_dense_region_over_many_cells(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL_ROWS", 10)
     monkeypatch.setattr(exact, "BLOCK", 256)
     data, df = frame(spark, dense_and_other(), range(0, 400, 40))
-    pivots = vectors.fit_pivots(df, "kp_id", "descriptor")
+    monkeypatch.setattr(vectors, "DIVIDED_ROWS", 40)
+    monkeypatch.setattr(vectors, "INNER_ROWS", 20)
+    pivots = vectors.fit_pivots(df, "kp_id", "descriptor").every
     x = np.array(list(usable(data).values()), np.float32)[:400]
     assert len(set(((x[:, None] - pivots[None]) ** 2).sum(2).argmin(1))) >= 6  # the region is cut into cells
     want = {(a, b, d) for a, near in nearest_pairs(usable(data), 5, 120.0).items() for b, d in near}
-    got = {(r["id"], r["neighbour"], r["squared_distance"]) for r in neighbours.similar_vectors(df, "kp_id", "descriptor", 5, 120.0).collect()}
+    got = {(r["id"], r["neighbour"], r["squared_distance"]) for r in neighbours.similar_vectors(df, "kp_id", "descriptor", 5, 120.0, exact=True).collect()}
     assert got == want
 
 
@@ -48,7 +50,7 @@ def test_chains_of_single_links_over_many_cells(spark, monkeypatch):
     data, df = frame(spark, chains(), (150, 200))
     want = closed_sets(usable(data), 240.0, 8)
     assert len(want) > 100 and len({c for _, c in want}) > 5
-    assert {(r["id"], r["cluster_id"]) for r in clusters.similarity_clusters(df, "kp_id", "descriptor").collect()} == want
+    assert {(r["id"], r["cluster_id"]) for r in clusters.similarity_clusters(df, "kp_id", "descriptor", exact=True).collect()} == want
 
 
 def test_one_cluster_over_many_cells_is_described_whole(spark, monkeypatch):
@@ -56,7 +58,7 @@ def test_one_cluster_over_many_cells_is_described_whole(spark, monkeypatch):
     monkeypatch.setattr(exact, "BLOCK", 64)
     x = np.concatenate([dense_and_other(n=120), chains(n=6)])
     data, df = frame(spark, x)
-    assert len(vectors.fit_pivots(df, "kp_id", "descriptor")) >= 20
+    assert len(vectors.fit_pivots(df, "kp_id", "descriptor").every) >= 20
     points = usable(data)
     groups = {}
     for i, c in sorted(closed_sets(points, 240.0, 8)):
@@ -68,6 +70,6 @@ def test_one_cluster_over_many_cells_is_described_whole(spark, monkeypatch):
     parts = {c: len({m for _, k, _, m in want if k == c}) for c in groups}
     assert parts[100] == 1 and len(groups[100]) == 120 and max(parts.values()) > 1
     for together in (4096, 9):  # by one task each, and by blocks and joins
-        found = clusters.similarity_clusters(df, "kp_id", "descriptor", together=together)
+        found = clusters.similarity_clusters(df, "kp_id", "descriptor", together=together, exact=True)
         assert {tuple(r) for r in found.collect()} == want
     assert {r["cluster_id"]: r["n_parts"] for r in clusters.describe_clusters(found).collect()} == parts
