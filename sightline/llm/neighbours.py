@@ -19,7 +19,7 @@ from sightline.llm.proximity_graph import ProximityGraph
 from sightline.llm.vectors import ASIDE, classes, copy_rows, distinct_rows, fit_pivots, packed, to_shards, unpacked
 from sightline.runtime import Staging
 
-DEGREE, BEAM, ALPHA, WIDTH = 24, 10, 1.1, 2
+DEGREE, BEAM, VISITOR_BEAM, ALPHA, WIDTH = 24, 10, 8, 1.1, 2
 
 
 def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
@@ -36,7 +36,7 @@ def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
         for query_ids, queries in ((own_ids, own), (guest_ids, guests)):
             if not len(query_ids):
                 continue
-            near, d = graph.search_own() if queries is own else graph.search(queries.astype(np.float32))
+            near, d = graph.search_own() if queries is own else graph.search(queries.astype(np.float32), max(VISITOR_BEAM, k + 3))
             known = np.append(own_ids, -1)[near]
             d = np.where(np.isfinite(d), np.rint(d), np.inf)
             other = (known != query_ids[:, None]) & np.isfinite(d) & (d <= limit)

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 
+ENTRIES = 512  # vectors a search looks at first; the nearest of them are where it begins
+
 
 class ProximityGraph:
     def __init__(self, vectors: np.ndarray, degree: int = 16, beam: int = 32, alpha: float = 1.2, width: int = 4, seed: int = 7):
@@ -29,6 +31,7 @@ class ProximityGraph:
             size = min(done, 1024, n - done)
             self._insert(order[done : done + size], first=False)
             done += size
+            self.entries = order[: min(done, ENTRIES)]
 
     def search(self, queries: np.ndarray, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and squared distances of the vectors left in each query's beam, nearest first."""
@@ -59,7 +62,8 @@ class ProximityGraph:
         if own is None:
             e = self.entries
             d = qn[:, None] + self.norm[e][None] - 2 * (q @ self.x[e].T)
-            first = np.argsort(d, axis=1)[:, :beam]
+            first = np.argpartition(d, beam, axis=1)[:, :beam] if beam < len(e) else np.tile(np.arange(len(e)), (b, 1))
+            first = np.take_along_axis(first, np.argsort(np.take_along_axis(d, first, 1), axis=1), 1)
             ids[:, : first.shape[1]] = e[first]
             dist[:, : first.shape[1]] = np.take_along_axis(d, first, 1)
             seen[:, e] = True
