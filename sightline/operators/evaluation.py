@@ -9,17 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.parsing import smart_commit
+from sightline.operators.robust import middle_values, on_group
 
 
 def all_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean, interpolated median, min, max, sample deviation and count of each group.
 
-    Nulls are no values; a group of one value has a null deviation, one without values null statistics.
+    Nulls are no values; a group of one value has a null deviation, one without values null statistics. The
+    median is exact, and no group's values are gathered for it (see :func:`robust.middle_values`).
     """
     v = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_samp(v).alias("stddev"), F.count(v).alias("count")
-    )
+    stats = df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_samp(v).alias("stddev"), F.count(v).alias("count"))
+    middle = middle_values(df, keys, value).select(*keys, ((F.col("lower") + F.col("upper")) / 2).alias("median"))
+    return on_group(stats, middle, keys, "left").select(*keys, "mean", "median", "min", "max", "stddev", "count")
 
 
 def comparison_pivot(df: DataFrame, row: str, column: str, value: str, columns: Sequence, stat=F.avg) -> DataFrame:

@@ -19,6 +19,11 @@ MOST_ROUNDS, LEAST_ERROR, LEAST_DROP = 32, 1e-5, 1e-2
 ADMM_ROUNDS, ADMM_RHO, ADMM_ALPHA, ADMM_ABSOLUTE, ADMM_RELATIVE = 1000, 1.0, 1.0, 1e-4, 1e-2
 IRLS_SCALE = np.radians(5.0)
 
+L1_FLOOR = 1e-3  # residuals below this weigh alike in the first stage, radians
+L1_ENOUGH = 1e-3  # the first stage only has to come near: it ends when views move less than this on average
+CG_TOLERANCE = {"l1": 1e-2, "irls": 1e-3}
+MOST_VIEWS = 20_000_000  # views of one connected graph, whose rotations the driver holds
+
 
 def similarity_alignment(pairs: DataFrame, keys: Sequence[str], a: Sequence[str], b: Sequence[str]) -> DataFrame:
     """``keys, n, scale, r, t`` with b ~ scale R a + t, least squares in closed form.
@@ -128,24 +133,36 @@ def _adjoint(i: np.ndarray, j: np.ndarray, y: np.ndarray, n: int, root: int) ->
     return out
 
 
-def _least_squares(i: np.ndarray, j: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, root: int) -> np.ndarray:
-    """Weighted least squares of x_j - x_i = b with x_root = 0, by conjugate gradients."""
-    x = np.zeros((n, 3))
-    r = _adjoint(i, j, w[:, None] * b, n, root)
-    p, size = r.copy(), (r * r).sum()
-    for _ in range(4 * n + 50):
-        if size < 1e-24:
+def _conjugate(apply: Callable[[np.ndarray], np.ndarray], right: np.ndarray, diagonal: np.ndarray, tolerance: float) -> np.ndarray:
+    """x of ``apply(x) = right``, a symmetric positive operator with the given diagonal, by conjugate gradients."""
+    x, r = np.zeros_like(right), right.copy()
+    z = r / diagonal
+    p, size = z.copy(), float((r * z).sum())
+    enough = tolerance**2 * size
+    for _ in range(4 * len(right) + 50):
+        if size <= enough or size < 1e-24:
             break
-        ap = _adjoint(i, j, w[:, None] * _incidence(i, j, p), n, root)
-        step = size / max((p * ap).sum(), 1e-300)
+        ap = apply(p)
+        step = size / max(float((p * ap).sum()), 1e-300)
         x, r = x + step * p, r - step * ap
-        new = (r * r).sum()
-        p, size = r + new / size * p, new
+        z = r / diagonal
+        new = float((r * z).sum())
+        p, size = z + new / size * p, new
     return x
 
 
+def _least_squares(i: np.ndarray, j: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, root: int, tolerance: float = 1e-10) -> np.ndarray:
+    """Weighted least squares of x_j - x_i = b with x_root = 0."""
+    diagonal = np.maximum(np.bincount(i, w, n) + np.bincount(j, w, n), 1e-300)[:, None]
+    return _conjugate(lambda p: _adjoint(i, j, w[:, None] * _incidence(i, j, p), n, root), _adjoint(i, j, w[:, None] * b, n, root), diagonal, tolerance)
+
+
 def l1_solve(i: np.ndarray, j: np.ndarray, b: np.ndarray, n: int, root: int) -> np.ndarray:
-    """x that minimises the sum of |x_j - x_i - b| with x_root = 0, by alternating directions of multipliers."""
+    """x that minimises the sum of |x_j - x_i - b| with x_root = 0, by alternating directions of multipliers.
+
+    For one linearised graph in memory; :func:`refine_rotations` reweights instead, which ends at the same sum
+    in a fraction of the passes.
+    """
     x, z, u = np.zeros((n, 3)), np.zeros_like(b), np.zeros_like(b)
     ones = np.ones(len(b))
     for _ in range(ADMM_ROUNDS):
@@ -162,20 +179,115 @@ def l1_solve(i: np.ndarray, j: np.ndarray, b: np.ndarray, n: int, root: int) ->
     return x
 
 
-def average_in_memory(r: np.ndarray, i: np.ndarray, j: np.ndarray, rel: np.ndarray, root: int) -> np.ndarray:
-    """Rotations refined from a start: an L1 stage, then least squares reweighted by their residuals."""
-    for weights in (None, IRLS_SCALE):
+def _weights(b: np.ndarray, stage: str) -> np.ndarray:
+    """Weights of edges from their residuals: of the least sum of lengths, or of the final reweighting."""
+    e2 = (b * b).sum(1)
+    return 1 / np.maximum(np.sqrt(e2), L1_FLOOR) if stage == "l1" else IRLS_SCALE**2 / (e2 + IRLS_SCALE**2) ** 2
+
+
+class EdgesInMemory:
+    """The relative rotations of a view graph, and the sums over them that averaging needs, in numpy."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray, rel: np.ndarray, n: int):
+        self.i, self.j, self.rel, self.n = i, j, rel, n
+
+    def linearise(self, r: np.ndarray, stage: str) -> tuple[np.ndarray, np.ndarray]:
+        """Take residuals and weights at ``r``; the weighted residuals and the weights summed at each view."""
+        self.b = _log(np.swapaxes(r[self.j], 1, 2) @ self.rel @ r[self.i])
+        self.w = _weights(self.b, stage)
+        return _adjoint(self.i, self.j, self.w[:, None] * self.b, self.n, 0), np.bincount(self.i, self.w, self.n) + np.bincount(self.j, self.w, self.n)
+
+    def apply(self, p: np.ndarray) -> np.ndarray:
+        return _adjoint(self.i, self.j, self.w[:, None] * _incidence(self.i, self.j, p), self.n, 0)
+
+
+class EdgesInTable:
+    """The same over a staged table ``i, j, rel``: each sum is one pass over the edges, which never leave their tasks.
+
+    Vectors of one value for each view travel to the tasks and back, so the views of one graph are bounded
+    (``MOST_VIEWS``, 24 bytes each), its edges are not. Residuals are staged once for each linearisation.
+    """
+
+    def __init__(self, edges: DataFrame, n: int, staging: Staging):
+        self.edges, self.n, self.staging, self.at = edges, n, staging, None
+
+    def _sums(self, frame: DataFrame, work: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """``work`` gives i, j and the values that each edge adds at j and takes at i; summed in the tasks first."""
+        n = self.n
+
+        def add(batches):
+            total = None
+            for rows in batches:
+                i, j, y, z = work(rows)
+                total = np.zeros((n, y.shape[1])) if total is None else total
+                np.add.at(total, j, y)
+                np.add.at(total, i, z)
+            if total is not None:
+                at = np.flatnonzero(total.any(1))
+                yield pd.DataFrame({"v": at, **{f"s{k}": total[at, k] for k in range(total.shape[1])}})
+
+        width = 4
+        parts = frame.mapInPandas(add, "v long, " + ", ".join(f"s{k} double" for k in range(width)))
+        found = parts.groupBy("v").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(width)]).toPandas()
+        out = np.zeros((n, width))
+        out[found["v"].to_numpy(int)] = found[[f"s{k}" for k in range(width)]].to_numpy()
+        return out
+
+    def linearise(self, r: np.ndarray, stage: str) -> tuple[np.ndarray, np.ndarray]:
+        shared = self.edges.sparkSession.sparkContext.broadcast(r)
+
+        def residuals(batches):
+            for rows in batches:
+                at = shared.value
+                rel = np.array(rows["rel"].tolist()).reshape(-1, 3, 3)
+                b = _log(np.swapaxes(at[rows["j"]], 1, 2) @ rel @ at[rows["i"]])
+                yield pd.DataFrame({"i": rows["i"], "j": rows["j"], "b0": b[:, 0], "b1": b[:, 1], "b2": b[:, 2], "w": _weights(b, stage)})
+
+        old, self.at = self.at, self.staging.write(self.edges.mapInPandas(residuals, "i int, j int, b0 double, b1 double, b2 double, w double"))
+        self.staging.drop(old)
+
+        def work(rows: pd.DataFrame):
+            w = rows["w"].to_numpy()
+            y = rows[["b0", "b1", "b2"]].to_numpy() * w[:, None]
+            return rows["i"].to_numpy(), rows["j"].to_numpy(), np.column_stack([y, w]), np.column_stack([-y, w])
+
+        out = self._sums(self.at, work)
+        shared.destroy()
+        right, weight = out[:, :3].copy(), out[:, 3]
+        right[0] = 0
+        return right, weight
+
+    def apply(self, p: np.ndarray) -> np.ndarray:
+        shared = self.edges.sparkSession.sparkContext.broadcast(p)
+
+        def work(rows: pd.DataFrame):
+            i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
+            y = rows["w"].to_numpy()[:, None] * (shared.value[j] - shared.value[i])
+            y = np.column_stack([y, np.zeros(len(y))])
+            return i, j, y, -y
+
+        out = self._sums(self.at.select("i", "j", "w"), work)[:, :3]
+        shared.destroy()
+        out[0] = 0
+        return out
+
+
+def refine_rotations(r: np.ndarray, edges: EdgesInMemory | EdgesInTable) -> np.ndarray:
+    """Rotations refined from a start, view 0 staying: a stage of least absolute residuals, then least squares
+    reweighted by the residuals.
+
+    Each round weighs the edges by their residuals and solves the weighted normal equations by conjugate
+    gradients, to a share of ``CG_TOLERANCE``; the first stage ends when moves are small, the second also when
+    they grow or hardly fall.
+    """
+    for stage in ("l1", "irls"):
         before = np.inf
         for _ in range(MOST_ROUNDS):
-            b = _log(np.swapaxes(r[j], 1, 2) @ rel @ r[i])
-            if weights is None:
-                x = l1_solve(i, j, b, len(r), root)
-            else:
-                e2 = (b * b).sum(1)
-                x = _least_squares(i, j, b, weights**2 / (e2 + weights**2) ** 2, len(r), root)
+            right, weight = edges.linearise(r, stage)
+            x = _conjugate(edges.apply, right, np.maximum(weight, 1e-300)[:, None], CG_TOLERANCE[stage])
             r = r @ _exp(x)
             error = float(np.linalg.norm(x, axis=1).mean())
-            if error <= LEAST_ERROR or error > before or (np.isfinite(before) and (before - error) / before <= LEAST_DROP):
+            if error <= (L1_ENOUGH if stage == "l1" else LEAST_ERROR) or (stage == "irls" and (error > before or (np.isfinite(before) and (before - error) / before <= LEAST_DROP))):
                 break
             before = error
     return r
@@ -189,13 +301,14 @@ def rotation_residuals(pairs: DataFrame, rotations: DataFrame) -> DataFrame:
     return rows.withColumn("c", g.multiply(F.col("rj"), g.transpose(F.col("ri")))).select("view_i", "view_j", g.frobenius(F.col("r"), F.col("c")).alias("residual"))
 
 
-def average_rotations(views: DataFrame, pairs: DataFrame, driver_edges: int = 100_000, rounds: int = 20) -> DataFrame:
+def average_rotations(views: DataFrame, pairs: DataFrame, driver_edges: int = 100_000) -> DataFrame:
     """``view_id, r`` of views, from relative rotations ``view_i, view_j, weight, r`` (R_j = R_ij R_i).
 
-    The spanning forest of greatest weight gives the start. A view graph of at most ``driver_edges`` edges
-    (counted first) is then refined by numpy on the driver. A larger one is refined where it is: each round
-    joins the rotations onto the edges and moves every view by the weighted mean of its residuals. Views
-    that the root's part does not reach have null rotations.
+    The spanning forest of greatest weight gives the start, :func:`refine_rotations` the rest. The sums over
+    the edges of a graph of at most ``driver_edges`` edges (counted first) are numpy's on the driver, those of
+    a larger one are taken where its edges are; the steps and where they stop are the same, so are the results
+    but for rounding. Views that the root's part does not reach have null rotations; a part of more than
+    ``MOST_VIEWS`` views raises.
     """
     staging = Staging(views.sparkSession, "averaging")
     edges = staging.write(pairs.filter("view_i <> view_j AND r IS NOT NULL").select("view_i", "view_j", F.coalesce("weight", F.lit(1.0)).alias("weight"), "r"))
@@ -206,30 +319,27 @@ def average_rotations(views: DataFrame, pairs: DataFrame, driver_edges: int = 10
     tree = directed.join(forest.select("view_i", "view_j", "weight"), ["view_i", "view_j", "weight"]).groupBy("view_i", "view_j").agg(F.min("r").alias("r"))
     start = staging.write(propagate_rotations(views, tree).select("view_id", "r"))
     reached = start.filter("r IS NOT NULL")
-    inside = directed.join(reached.select(F.col("view_id").alias("view_i")), "view_i", "left_semi").join(reached.select(F.col("view_id").alias("view_j")), "view_j", "left_semi")
-    inside = staging.write(inside)
-    if inside.count() <= driver_edges:
-        nodes, rows = reached.orderBy("view_id").collect(), inside.collect()
-        if not rows:
-            return start
-        at = {n["view_id"]: k for k, n in enumerate(nodes)}
-        r = np.array([n["r"] for n in nodes]).reshape(-1, 3, 3)
-        a, b = np.array([at[e["view_i"]] for e in rows]), np.array([at[e["view_j"]] for e in rows])
-        r = average_in_memory(r, a, b, np.array([e["r"] for e in rows]).reshape(-1, 3, 3), 0)
-        found = views.sparkSession.createDataFrame([(n["view_id"], [float(v) for v in m.ravel()]) for n, m in zip(nodes, r, strict=True)], "view_id long, r array<double>")
-        return views.select("view_id").distinct().join(found, "view_id", "left")
-    root = reached.agg(F.min("view_id")).first()[0]
-    current = reached
-    for _ in range(rounds):
-        ri = current.select(F.col("view_id").alias("view_i"), F.col("r").alias("ri"))
-        rj = current.select(F.col("view_id").alias("view_j"), F.col("r").alias("rj"))
-        both = inside.join(ri, "view_i").join(rj, "view_j").withColumn("d", g.multiply(g.transpose(F.col("rj")), g.multiply(F.col("r"), F.col("ri")))).withColumn("b", g.rotation_to_angle_axis(F.col("d")))
-        w = (IRLS_SCALE**2) / F.pow(g.dot(F.col("b"), F.col("b")) + IRLS_SCALE**2, 2)
-        moves = both.select(F.explode(F.array(F.struct(F.col("view_j").alias("view_id"), F.lit(1.0).alias("s")), F.struct(F.col("view_i").alias("view_id"), F.lit(-1.0).alias("s")))).alias("e"), "b", w.alias("w"))
-        mean = moves.groupBy("e.view_id").agg(*[(F.sum(F.col("e.s") * F.col("w") * F.col("b")[k]) / F.sum("w") * 0.5).alias(f"x{k}") for k in range(3)])
-        step = current.join(mean, "view_id", "left").withColumn("x", F.array(*[F.when(F.col("view_id") == root, 0.0).otherwise(F.coalesce(f"x{k}", F.lit(0.0))) for k in range(3)]))
-        current = staging.write(step.withColumn("m", g.angle_axis_to_rotation(F.col("x"))).select("view_id", g.multiply(F.col("r"), F.col("m")).alias("r")))
-    return views.select("view_id").distinct().join(current, "view_id", "left")
+    n = reached.count()
+    if n > MOST_VIEWS:
+        raise ValueError(f"{n} views hang together, more than {MOST_VIEWS}")
+    nodes = reached.orderBy("view_id").toPandas()
+    if not len(nodes):
+        return start
+    numbers = views.sparkSession.createDataFrame(pd.DataFrame({"view_id": nodes["view_id"], "at": np.arange(n, dtype=np.int32)}), "view_id long, at int")
+    inside = directed.join(numbers.select(F.col("view_id").alias("view_i"), F.col("at").alias("i")), "view_i").join(numbers.select(F.col("view_id").alias("view_j"), F.col("at").alias("j")), "view_j")
+    inside = staging.write(inside.select("i", "j", F.col("r").alias("rel")))
+    r = np.array(nodes["r"].tolist()).reshape(-1, 3, 3)
+    n_edges = inside.count()
+    if not n_edges:
+        return start
+    if n_edges <= driver_edges:
+        rows = inside.toPandas().sort_values(["i", "j"])
+        r = refine_rotations(r, EdgesInMemory(rows["i"].to_numpy(), rows["j"].to_numpy(), np.array(rows["rel"].tolist()).reshape(-1, 3, 3), n))
+    else:
+        r = refine_rotations(r, EdgesInTable(inside, n, staging))
+    out = pd.DataFrame({"view_id": nodes["view_id"], "r": [m.ravel().tolist() for m in r]})
+    found = views.sparkSession.createDataFrame(out, "view_id long, r array<double>")
+    return views.select("view_id").distinct().join(found, "view_id", "left")
 
 
 def filter_by_residual(pairs: DataFrame, rotations: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
 from sightline.operators.versions import current_rows
+from sightline.runtime import Staging
 
 PAIR = ("view_i", "view_j")
 # A pair needs so many matches, so many inliers and such a share of them.
@@ -16,12 +17,19 @@ MIN_MATCHES, MIN_INLIERS, MIN_RATIO, SOLVER_INLIERS = 50, 50, 0.25, 6
 
 
 def features(keypoints: DataFrame) -> DataFrame:
-    """One row for each (view, feature): its latest row, as ``view_id, feature_id, kp_id, x, y, size, angle``."""
+    """One row for each (view, feature): its latest row, as ``view_id, feature_id, kp_id, x, y, size, angle``.
+
+    A NaN is no place, size or angle, and becomes null.
+    """
+
+    def number(c: str) -> Column:
+        return F.nullif(F.col(f"r.{c}").cast("double"), F.lit(float("nan")))
+
     latest = F.max(F.struct("added_at", "kp_id", "x", "y", "scale", "orientation")).alias("r")
     rows = keypoints.filter("image_id IS NOT NULL AND kp_idx IS NOT NULL").groupBy("image_id", "kp_idx").agg(latest)
     return rows.select(
         F.col("image_id").alias("view_id"), F.col("kp_idx").cast("long").alias("feature_id"), F.col("r.kp_id").alias("kp_id"),
-        F.col("r.x").cast("double").alias("x"), F.col("r.y").cast("double").alias("y"), F.col("r.scale").cast("double").alias("size"), F.col("r.orientation").cast("double").alias("angle"),
+        number("x").alias("x"), number("y").alias("y"), number("scale").alias("size"), number("orientation").alias("angle"),
     )
 
 
@@ -99,10 +107,11 @@ def lookup_names(files: DataFrame, name: str, known: DataFrame, known_name: str,
     return files.join(ids, name), files.join(ids, name, "left_anti")
 
 
-def view_pairs(views: DataFrame, id_col: str) -> DataFrame:
-    """All pairs i < j of a set of views. Their number is its nature; use it on the views of one scene."""
-    a, b = views.select(F.col(id_col).alias("view_i")), views.select(F.col(id_col).alias("view_j"))
-    return a.join(b, F.col("view_i") < F.col("view_j"))
+def view_pairs(views: DataFrame, id_col: str, scene: str) -> DataFrame:
+    """All pairs i < j of the views of each scene; views of no scene have none. Their number is its nature: the
+    join is on the scene, and AQE splits the side of a large one."""
+    a, b = (views.filter(F.col(scene).isNotNull()).select(F.col(scene).alias("_s"), F.col(id_col).alias(f"view_{n}")).distinct() for n in "ij")
+    return a.join(b, "_s").filter("view_i < view_j").drop("_s")
 
 
 def with_shared_camera(views: DataFrame, camera: DataFrame) -> DataFrame:
@@ -164,10 +173,11 @@ def image_points(obs: DataFrame) -> DataFrame:
 def valid_views(obs: DataFrame) -> DataFrame:
     """``view_id, est_id``: views seen in used tracks, numbered densely from 0 in order of their ids.
 
-    The ids are numbered by range partitions and their sizes, not in one window over all views.
+    The ids are numbered by range partitions and their sizes, not in one window over all views. The parts are
+    staged, so that both uses of them see the same ones, whatever is planned or computed again.
     """
     views = obs.filter("is_used").select("view_id").distinct()
-    numbered = views.sort("view_id").withColumn("part", F.spark_partition_id())
+    numbered = Staging(obs.sparkSession, "numbers").write(views.sort("view_id").withColumn("part", F.spark_partition_id()))
     within = numbered.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("view_id")))
     sizes = within.groupBy("part").agg(F.max("n").alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "before")
@@ -189,19 +199,18 @@ def track_means(obs: DataFrame, values: list[str]) -> DataFrame:
     return obs.groupBy("track_id").agg(F.count_if(used).alias("n_used"), *[F.avg(F.when(used, F.col(v))).alias(f"mean_{v}") for v in values])
 
 
-def scene_scale(centres: DataFrame, x: str, y: str, z: str, id_col: str) -> DataFrame:
-    """Greatest distance of two centres of a scene, the least of those above a hundredth of it, and one over that.
+def scene_scale(centres: DataFrame, scene: str, x: str, y: str, z: str, id_col: str) -> DataFrame:
+    """Of each scene the greatest distance of two centres, the least of those above a hundredth of it, and one over that.
 
-    The scale is kept between 1e-6 and 1e6; without two different centres all are null. Pairs are its
-    nature: pass the centres of one scene.
+    The scale is kept between 1e-6 and 1e6; a scene without two different centres has no row. Pairs of the
+    centres of a scene are its nature; they are joined on the scene and combined on the map side.
     """
-    a = centres.select(F.col(id_col).alias("i"), *[F.col(c).alias(f"{n}1") for c, n in ((x, "x"), (y, "y"), (z, "z"))])
-    b = centres.select(F.col(id_col).alias("j"), *[F.col(c).alias(f"{n}2") for c, n in ((x, "x"), (y, "y"), (z, "z"))])
+    named = centres.filter(F.col(scene).isNotNull())
+    a, b = (named.select(F.col(scene).alias("scene"), F.col(id_col).alias(f"id{n}"), *[F.col(c).alias(f"{k}{n}") for c, k in ((x, "x"), (y, "y"), (z, "z"))]) for n in "12")
     d = F.sqrt(sum(((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0)))
-    distances = a.join(b, F.col("i") < F.col("j")).select(d.alias("d"))
-    most = distances.agg(F.max("d").alias("greatest"))
-    rows = distances.crossJoin(F.broadcast(most)).filter("d >= 0.01 * greatest AND d > 0")
-    out = rows.agg(F.max("greatest").alias("greatest"), F.min("d").alias("least"))
+    distances = a.join(b, "scene").filter("id1 < id2").select("scene", d.alias("d"))
+    most = distances.groupBy("scene").agg(F.max("d").alias("greatest"))
+    out = distances.join(most, "scene").filter("d >= 0.01 * greatest AND d > 0").groupBy("scene").agg(F.max("greatest").alias("greatest"), F.min("d").alias("least"))
     return out.withColumn("scale", F.least(F.greatest(1 / F.col("least"), F.lit(1e-6)), F.lit(1e6)))
 
 

@@ -82,7 +82,7 @@ def match_join_metadata(spark, sf_dir):
 def match_bearing_pairs(spark, sf_dir):
     located = st.join_coordinates(_matches(spark, sf_dir), st.features(table(spark, sf_dir, "keypoints")))
     out = st.bearing_pairs(located, _images(spark, sf_dir), st.intrinsics(table(spark, sf_dir, "cameras")), inliers_only=True)
-    return out.filter(~F.isnan(F.col("b1")[0]) & ~F.isnan(F.col("b2")[0])).select("view_i", "view_j", "match_idx", *_array("b1", 3), *_array("b2", 3))
+    return out.select("view_i", "view_j", "match_idx", *_array("b1", 3), *_array("b2", 3))
 
 
 def match_point_lists(spark, sf_dir):
@@ -154,7 +154,8 @@ def valid_views(spark, sf_dir):
 
 
 def all_pairs_views(spark, sf_dir):
-    return st.view_pairs(table(spark, sf_dir, "nation"), "n_nationkey")
+    images = _images(spark, sf_dir).withColumn("scene", F.substring_index("name", "/", 1))
+    return st.view_pairs(images, "image_id", "scene")
 
 
 def shared_camera(spark, sf_dir):
@@ -185,9 +186,8 @@ def track_colour_mean(spark, sf_dir):
 
 def scene_scale(spark, sf_dir):
     p = st.poses(table(spark, sf_dir, "images")).withColumn("c", g.camera_centre(F.col("r"), F.col("t"))).withColumn("scene", F.substring_index("name", "/", 1))
-    means = p.filter("scene IS NOT NULL").groupBy("scene").agg(*[F.avg(F.col("c")[i]).alias(n) for i, n in enumerate("xyz")])
-    # as many scenes as there are datasets, whatever the number of images
-    return st.scene_scale(means, "x", "y", "z", "scene").select(*[F.round(c, 6).alias(c) for c in ("greatest", "least", "scale")])
+    centres = p.select("view_id", "scene", *[F.col("c")[i].alias(n) for i, n in enumerate("xyz")])
+    return st.scene_scale(centres, "scene", "x", "y", "z", "view_id").select("scene", *[F.round(c, 6).alias(c) for c in ("greatest", "least", "scale")])
 
 
 def upper_median_stats(spark, sf_dir):
@@ -298,8 +298,8 @@ QUERIES = {
 
 _M = "(SELECT DISTINCT * FROM matches)"
 _IM = "(SELECT image_id, name, camera_id FROM images WHERE image_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY added_at DESC NULLS LAST, name DESC NULLS LAST, camera_id DESC NULLS LAST) = 1)"
-_FEATURES = """(SELECT image_id AS view_id, kp_idx::BIGINT AS feature_id, kp_id, x::DOUBLE AS x, y::DOUBLE AS y, scale::DOUBLE AS size FROM keypoints WHERE image_id IS NOT NULL AND kp_idx IS NOT NULL
- QUALIFY row_number() OVER (PARTITION BY image_id, kp_idx ORDER BY added_at DESC NULLS LAST, kp_id DESC, x DESC NULLS LAST, y DESC NULLS LAST, scale DESC NULLS LAST, orientation DESC NULLS LAST) = 1)"""
+_FEATURES = """(SELECT image_id AS view_id, kp_idx::BIGINT AS feature_id, kp_id, CASE WHEN NOT isnan(x) THEN x::DOUBLE END AS x, CASE WHEN NOT isnan(y) THEN y::DOUBLE END AS y, CASE WHEN NOT isnan(scale) THEN scale::DOUBLE END AS size FROM keypoints WHERE image_id IS NOT NULL AND kp_idx IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY image_id, kp_idx ORDER BY added_at DESC NULLS LAST, kp_id DESC, keypoints.x DESC NULLS LAST, keypoints.y DESC NULLS LAST, keypoints.scale DESC NULLS LAST, orientation DESC NULLS LAST) = 1)"""
 _OBS = """(SELECT point_id AS track_id, i - 1 AS obs_idx, track[i].image_id AS view_id, track[i].point2d_idx::BIGINT AS feature_id, coalesce(is_used, false) AS is_used
  FROM (SELECT DISTINCT point_id, is_used, track FROM points3d), LATERAL (SELECT unnest(range(1, len(track) + 1)) AS i) WHERE track[i].image_id IS NOT NULL AND track[i].point2d_idx IS NOT NULL)"""
 _CAMERAS = """(SELECT camera_id, width, height, CASE WHEN len(params) >= 4 THEN params[1] END AS fx, CASE WHEN len(params) >= 4 THEN CASE WHEN single THEN params[1] ELSE params[2] END END AS fy,
@@ -389,6 +389,9 @@ SQL = {
         FROM {_LOCATED} WHERE is_inlier GROUP BY view_i, view_j""",
     "name_lookup_join": f"SELECT f.name, i.image_id AS view_id FROM (SELECT DISTINCT name FROM model_images WHERE name IS NOT NULL) f JOIN {_IM} i USING (name)",
     "name_lookup_miss": f"SELECT DISTINCT name FROM model_images WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM {_IM} WHERE name IS NOT NULL)",
+    "name_parts": f"""SELECT image_id, regexp_replace(regexp_extract(name, '([^/\\\\]*)[/\\\\]*$', 1), '\\.[^./\\\\]*$', '') AS stem,
+        CASE WHEN contains(name, '/') THEN regexp_extract(regexp_replace(name, '/[^/]*$', ''), '([^/\\\\]+)[/\\\\]*$', 1) ELSE regexp_extract(regexp_replace(name, '[/\\\\]+$', ''), '([^/\\\\]+)$', 1) END AS dataset
+        FROM {_IM} WHERE name IS NOT NULL""",
     "pair_id_roundtrip": "SELECT DISTINCT view_i, view_j, least(view_i, view_j) * 2147483647 + greatest(view_i, view_j) AS pair, least(view_i, view_j) AS first, greatest(view_i, view_j) AS second FROM matches",
     "filter_min_matches": f"SELECT view_i, view_j, match_idx, feat_i, feat_j, n AS n_matches, n >= 2 AS kept, coalesce(is_inlier, false) AND n >= 2 AS is_inlier FROM {_M} JOIN {_PAIR_COUNTS} USING (view_i, view_j)",
     "filter_pair_problems": f"""SELECT CASE WHEN view_i NOT IN (SELECT image_id FROM {_IM}) OR view_j NOT IN (SELECT image_id FROM {_IM}) THEN 'out_of_range' WHEN ok = 0 THEN 'empty' ELSE 'ok' END AS reason,
@@ -402,15 +405,15 @@ SQL = {
         SELECT view_i, view_j, match_idx, coalesce(nth % 2 = 0, false) AS is_inlier FROM m LEFT JOIN (SELECT view_i, view_j, match_idx, nth FROM n) USING (view_i, view_j, match_idx)""",
     "image_points": f"SELECT view_id, count(*) AS n_observations, count(*) FILTER (is_used) AS n_used, min(track_id) AS first_track, max(track_id) AS last_track FROM {_OBS} GROUP BY view_id",
     "valid_views": f"SELECT view_id, row_number() OVER (ORDER BY view_id) - 1 AS est_id FROM (SELECT DISTINCT view_id FROM {_OBS} WHERE is_used)",
-    "all_pairs_views": "SELECT a.n_nationkey AS view_i, b.n_nationkey AS view_j FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
+    "all_pairs_views": f"SELECT a.image_id AS view_i, b.image_id AS view_j FROM {_IM} a JOIN {_IM} b ON split_part(a.name, '/', 1) = split_part(b.name, '/', 1) AND a.image_id < b.image_id",
     "shared_camera": f"SELECT image_id, fx, cx FROM {_IM}, (SELECT fx, cx FROM {_CAMERAS} WHERE fx IS NOT NULL ORDER BY camera_id LIMIT 1)",
     "coord_change": f"""SELECT count(*) AS n, round(sum(s) / 2, 2) AS half_sum, round(avg(s), 6) AS mean FROM (SELECT (obs_idx % 3) * (obs_idx % 3) + y * y AS s FROM {_OBSERVED} WHERE is_used AND obs_idx % 5 <> 0)""",
     "track_colour_mean": f"""SELECT track_id, count(*) FILTER (is_used) AS n_used, round(avg(x) FILTER (is_used), 9) AS mean_x, round(avg(y) FILTER (is_used), 9) AS mean_y, round(avg(price) FILTER (is_used), 9) AS mean_price
         FROM {_OBSERVED} GROUP BY track_id""",
-    "scene_scale": f"""WITH s AS (SELECT split_part(name, '/', 1) AS scene, avg(c0) AS x, avg(c1) AS y, avg(c2) AS z FROM {_P} WHERE name IS NOT NULL GROUP BY 1),
-        d AS (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM s a JOIN s b ON a.scene < b.scene),
-        k AS (SELECT * FROM d, (SELECT max(d) AS greatest FROM d) WHERE d >= 0.01 * greatest AND d > 0)
-        SELECT round(max(greatest), 6) AS greatest, round(min(d), 6) AS least, round(least(greatest(1 / min(d), 1e-6), 1e6), 6) AS scale FROM k""",
+    "scene_scale": f"""WITH s AS (SELECT split_part(name, '/', 1) AS scene, view_id, c0 AS x, c1 AS y, c2 AS z FROM {_P} WHERE name IS NOT NULL),
+        d AS (SELECT a.scene, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM s a JOIN s b ON a.scene = b.scene AND a.view_id < b.view_id),
+        k AS (SELECT * FROM d JOIN (SELECT scene, max(d) AS greatest FROM d GROUP BY scene) USING (scene) WHERE d >= 0.01 * greatest AND d > 0)
+        SELECT scene, round(max(greatest), 6) AS greatest, round(min(d), 6) AS least, round(least(greatest(1 / min(d), 1e-6), 1e6), 6) AS scale FROM k GROUP BY scene""",
     "upper_median_stats": f"""SELECT is_used, count(*) AS n, round(min(error), 6) AS min, round(avg(error), 6) AS mean, round(max(error), 6) AS max, round({_upper_sql("error")}, 6) AS upper_median
         FROM (SELECT coalesce(is_used, false) AS is_used, error FROM (SELECT DISTINCT * FROM points3d) WHERE error IS NOT NULL AND NOT isnan(error)) GROUP BY is_used""",
     "x84_outliers": f"""WITH v AS (SELECT * FROM {_ERRORS} WHERE error IS NOT NULL AND NOT isnan(error)), m AS (SELECT {_upper_sql("error")} AS m FROM v), s AS (SELECT {_upper_sql("abs(error - m)")} AS s FROM v, m)

@@ -32,6 +32,8 @@ def spark():
 
     def create(data, schema):
         kind = T.StructType.fromDDL(schema)
+        if hasattr(data, "columns"):  # the library's own frames are typed already
+            return plain(data, kind)
         return plain([exact(r, kind) for r in data], kind)
 
     session.createDataFrame = create

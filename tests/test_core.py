@@ -242,23 +242,47 @@ def test_components_forest_and_propagation(spark):
     assert {(x["view_id"], x["depth"]) for x in near.collect()} == {(x["view_id"], x["depth"]) for x in far.collect()}
 
 
-@pytest.mark.parametrize("driver_edges", [100_000, 0])
-def test_rotation_averaging_recovers(spark, driver_edges):
-    truth, r = random_rotations(12, 6), np.random.RandomState(7)
-    rel = []
-    for i in range(12):
-        for j in range(i + 1, 12):
-            if r.rand() < 0.7:
-                m = truth[j] @ truth[i].T
-                m = random_rotations(1, i * 50 + j)[0] if driver_edges and r.rand() < 0.08 else solvers._exp(r.normal(size=(1, 3)) * 0.003)[0] @ m
-                rel.append((i, j, float(r.randint(5, 50)), m.ravel().tolist()))
-    pairs = spark.createDataFrame(rel, "view_i long, view_j long, weight double, r array<double>")
-    views = spark.createDataFrame([(i,) for i in range(13)], "view_id long")
-    got = {x["view_id"]: x["r"] for x in solvers.average_rotations(views, pairs, driver_edges=driver_edges, rounds=6).collect()}
-    assert got[12] is None
-    start = np.array(got[0]).reshape(3, 3)
-    errors = [np.degrees(np.linalg.norm(solvers._log((np.array(got[i]).reshape(3, 3) @ start.T @ (truth[i] @ truth[0].T).T)[None])[0])) for i in range(12)]
-    assert max(errors) < 1.0
+def noisy_graph(n, linked, noise, outliers, seed):
+    """Edges of a view graph with noise and random outliers, one outlier heavy enough for the spanning tree."""
+    truth, r, rel = random_rotations(n, seed), np.random.RandomState(seed + 1), []
+    for i in range(n):
+        for j in range(i + 1, n):
+            if linked(i, j, r):
+                m = solvers._exp(r.normal(size=(1, 3)) * noise)[0] @ truth[j] @ truth[i].T
+                weight = float(r.randint(5, 50))
+                if r.rand() < outliers or (i, j) == (2, 4) and outliers:
+                    m, weight = random_rotations(1, i * 50 + j)[0], weight + 20 * ((i, j) == (2, 4))
+                rel.append((i, j, weight, m.ravel().tolist()))
+    return truth, rel
+
+
+@pytest.mark.parametrize(("n", "linked", "noise", "outliers", "mean", "most"), [
+    (12, lambda i, j, r: r.rand() < 0.7, 0.003, 0.08, 0.3, 0.8),
+    (24, lambda i, j, r: j - i <= 4, 0.01, 0.1, 1.5, 4.0),
+    (24, lambda i, j, r: j - i <= 2, 0.002, 0.0, 1.0, 2.0),
+])
+def test_rotation_averaging_is_the_same_at_any_size(spark, n, linked, noise, outliers, mean, most):
+    truth, rel = noisy_graph(n, linked, noise, outliers, 6)
+    pairs = spark.createDataFrame(rel, "view_i long, view_j long, weight double, r array<double>").coalesce(2)
+    views = spark.createDataFrame([(i,) for i in range(n + 1)], "view_id long")
+    found = []
+    for driver_edges in (100_000, 0):
+        got = {x["view_id"]: x["r"] for x in solvers.average_rotations(views, pairs, driver_edges=driver_edges).collect()}
+        assert got.pop(n) is None
+        found.append(np.array([got[i] for i in range(n)]).reshape(-1, 3, 3))
+    assert np.abs(found[0] - found[1]).max() < 1e-6
+    errors = np.degrees(np.linalg.norm(solvers._log(found[0] @ found[0][0].T @ np.swapaxes(truth @ truth[0].T, 1, 2)), axis=1))
+    assert errors.mean() < mean and errors.max() < most
+
+
+def test_least_absolute_sums_agree():
+    r = np.random.RandomState(3)
+    i, j = np.array([(a, b) for a in range(15) for b in range(a + 1, 15) if r.rand() < 0.5]).T
+    x = r.normal(size=(15, 3))
+    x[0] = 0
+    b = x[j] - x[i]
+    b[::9] += r.normal(size=(len(b[::9]), 3)) * 5
+    assert np.abs(solvers.l1_solve(i, j, b, 15, 0) - x).max() < 0.05
 
 
 def test_alignment_recovers(spark):
