@@ -1,10 +1,11 @@
 """Evaluation passages in a training corpus, found through a positional inverted index.
 
-The index holds, for each document, the positions of every evaluation term, and is stored in shards of
-documents in the shared folder. The occurrences of every term over the whole corpus say which terms are
-rare. In each window of an item the two rarest terms are looked up first: their position lists, each
-shifted by the term's place in the item, are intersected, and only where both agree are the lists of the
-other terms read, for exact runs of words and then for stretches with words changed, left out or added.
+The index holds the place of every word of the corpus: shards of documents, and in each a row for each
+term with its list of documents and positions, in the order of the terms. It is written once, without a
+shuffle, and knows nothing of the evaluation set. A search reads the lengths of the lists of the
+evaluation terms, takes the two rarest terms of each window of an item, reads their lists only, shifts each
+by the term's place in the item and intersects them; only documents where both agree are then read, for
+exact runs of words and for stretches with words changed, left out or added.
 """
 
 from __future__ import annotations
@@ -12,13 +13,17 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.textnorm import mostly_cjk, words
 from sightline.runtime import Staging
 
+SHARD_DOCUMENTS, SHARD_WORDS = 4_096, 2_000_000  # a shard of the index ends at either
+MOST_ITEM_CHARS = 100_000_000  # of all evaluation items, which the driver and each task hold
 WINDOW = 6  # a stretch of 14 or more with one change in ten always holds so many words in a row unchanged
 
 
@@ -74,28 +79,53 @@ def read_items(rows: Sequence[tuple[int, str | None]], least_words: int, least_c
     return Lookup(terms, items)
 
 
-def build_index(documents: DataFrame, lookup: Lookup, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_words, terms, positions``: of each document, the places of its evaluation terms, term by term.
+INDEX = "shard long, term string, n int, docs array<int>, positions array<int>, ids array<long>"
 
-    Every document is read whole. Documents without an evaluation term have no row.
+
+def _shard_rows(shard: int, ids: list[int], terms: dict[str, int], codes: list[int], sizes: list[int]) -> pa.RecordBatch:
+    """The rows of a shard: its lists, term by term, and one row without a term that has the ids of its documents."""
+    code = np.array(codes, np.int32)
+    docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    starts = np.cumsum(sizes) - sizes if sizes else np.zeros(0, np.int64)
+    positions = (np.arange(len(code)) - np.repeat(starts, sizes)).astype(np.int32)
+    names = sorted(terms)
+    place = np.empty(len(names), np.int32)
+    place[[terms[t] for t in names]] = np.arange(len(names), dtype=np.int32)
+    order = np.argsort(place[code], kind="stable")
+    n = np.bincount(place[code], minlength=len(names)).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(n), [len(code)]]).astype(np.int32)  # the last row has no list
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v[order], pa.int32())) for v in (docs, positions)]
+    directory = pa.array([None] * len(names) + [ids], pa.list_(pa.int64()))
+    columns = [pa.array(np.full(len(names) + 1, shard, np.int64)), pa.array([*names, None], pa.string()), pa.array(np.r_[n, 0].astype(np.int32)), *lists, directory]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "term", "n", "docs", "positions", "ids"])
+
+
+def build_index(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``shard, term, n, docs, positions, ids``: the positional lists of all words of a corpus.
+
+    Every document is read whole; those without an id or a word have no place in it. ``docs`` are numbers
+    within the shard, whose row without a term has the documents' ids in their order.
     """
-    vocabulary = documents.sparkSession.sparkContext.broadcast(lookup.terms)
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int32()), ("terms", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
+        shard = TaskContext.get().partitionId() << 24
+        ids, terms, codes, sizes = [], {}, [], []
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ws = words(text)
-                posted = sorted((t, p) for p, w in enumerate(ws) if (t := known.get(w)) is not None)
-                if posted and doc is not None:
-                    for column, value in zip(out, (doc, len(ws), [t for t, _ in posted], [p for _, p in posted]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                ws = words(text) if doc is not None else []
+                if not ws:
+                    continue
+                codes.extend(terms.setdefault(w, len(terms)) for w in ws)
+                ids.append(doc)
+                sizes.append(len(ws))
+                if len(ids) >= SHARD_DOCUMENTS or len(codes) >= SHARD_WORDS:
+                    yield _shard_rows(shard, ids, terms, codes, sizes)
+                    shard, ids, terms, codes, sizes = shard + 1, [], {}, [], []
+        if ids:
+            yield _shard_rows(shard, ids, terms, codes, sizes)
 
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(index, "id bigint, n_words int, terms array<int>, positions array<int>")
+    return rows.mapInArrow(index, INDEX)
 
 
 def _reach(item: Sequence[int], doc: Sequence[int], i: int, j: int, step: int, stop: int, most: int) -> list[int]:
@@ -150,31 +180,52 @@ def _stretch(item: Item, doc: Sequence[int], diagonal: int) -> tuple[int, int, i
     return best
 
 
-def search_index(index: DataFrame, lookup: Lookup, id_col: str) -> DataFrame:
-    """``id, item_id, first_word, n_words, n_changes, kind`` of each document and item it holds."""
-    shared = index.sparkSession.sparkContext.broadcast(lookup)
+def _agreeing(rows: pa.Table, look: Lookup) -> pa.Table:
+    """``id, n, diagonal``: where two rare terms of a window of item ``n`` stand in a document as they do in the item."""
+    ids, lists = None, []
+    for term, docs, positions, directory in zip(*(rows[c].to_pylist() for c in ("term", "docs", "positions", "ids")), strict=True):
+        if term is None:
+            ids = directory
+        else:
+            lists.append((look.terms[term], docs, positions))
+    agree: dict[tuple[int, int, int], set[int]] = {}
+    for term, docs, positions in lists:
+        for n, i in look.anchors[term]:
+            for doc, p in zip(docs, positions, strict=True):
+                agree.setdefault((doc, n, p - i), set()).add(i)
+    found = [(ids[doc], n, d) for (doc, n, d), places in agree.items() if len(places) > 1 and any(a in places and b in places for a, b in look.pairs[n])]
+    columns = list(zip(*found, strict=True)) or [[], [], []]
+    return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("id", "n", "diagonal"), columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)})
+
+
+def search_index(index: DataFrame, lookup: Lookup, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, item_id, first_word, n_words, n_changes, kind`` of each document and item it holds.
+
+    The lengths of the lists of the evaluation terms choose the rare ones; their lists are read and
+    intersected shard by shard, and the words of the documents that are left are compared.
+    """
+    spark = index.sparkSession
+    known = spark.createDataFrame([(t,) for t in sorted(lookup.terms)] or [("",)], "term string")
+    lengths = index.select("term", "n").join(F.broadcast(known), "term").groupBy("term").agg(F.sum("n").alias("n"))
+    lookup.order_by_rarity({lookup.terms[r["term"]]: r["n"] for r in lengths.collect()})
+    shared = spark.sparkContext.broadcast(lookup)
+    rare = spark.createDataFrame([(t,) for t, code in sorted(lookup.terms.items()) if code in lookup.anchors] or [("",)], "term string")
+    lists = index.select("shard", "term", "docs", "positions", "ids")
+    read = lists.join(F.broadcast(rare), "term", "left_semi").unionByName(lists.filter("term IS NULL"))
+    places = read.groupBy("shard").applyInArrow(lambda rows: _agreeing(rows, shared.value), "id long, n int, diagonal int")
+    places = places.groupBy("id").agg(F.collect_set(F.struct("n", "diagonal")).alias("places"))
     names = [("id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("n_changes", pa.int32()), ("kind", pa.string())]
     schema = pa.schema(names)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = shared.value
-        anchors = look.anchors
         for batch in batches:
             out: list[tuple] = []
-            for doc, n_words, terms, positions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                agree: dict[tuple[int, int], set[int]] = {}
-                for t, p in zip(terms, positions, strict=True):
-                    for n, i in anchors.get(t, ()):
-                        agree.setdefault((n, p - i), set()).add(i)
-                candidates: dict[int, set[int]] = {}
-                for (n, diagonal), places in agree.items():
-                    if len(places) > 1 and any(a in places and b in places for a, b in look.pairs[n]):
-                        candidates.setdefault(n, set()).add(diagonal)
-                if not candidates:
-                    continue
-                sequence = [-1] * n_words
-                for t, p in zip(terms, positions, strict=True):
-                    sequence[p] = t
+            for doc, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sequence = [look.terms.get(w, -1) for w in words(text)]
+                candidates: dict[int, list[int]] = {}
+                for place in at:
+                    candidates.setdefault(place["n"], []).append(place["diagonal"])
                 for n, diagonals in candidates.items():
                     item = look.items[n]
                     found = [s for d in sorted(diagonals) if (s := _stretch(item, sequence, d))]
@@ -184,8 +235,8 @@ def search_index(index: DataFrame, lookup: Lookup, id_col: str) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    spec = "id bigint, item_id bigint, first_word int, n_words int, n_changes int, kind string"
-    found = index.select("id", "n_words", "terms", "positions").mapInArrow(search, spec)
+    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = texts.join(places, "id").select("id", "text", "places").mapInArrow(compare, "id bigint, item_id bigint, first_word int, n_words int, n_changes int, kind string")
     return found.withColumnRenamed("id", id_col).distinct()
 
 
@@ -197,15 +248,16 @@ def find_leaks(
     A passage is a stretch of ``least_words`` words in a row of the item (``least_cjk`` characters of
     Chinese) of which at most one in ten is changed, left out or added; writing does not matter (see
     :mod:`textnorm`), and stretches that stand word for word in several items do not count. The
-    evaluation set is read by the driver and sent to the executors: it is the held-out side, bounded by
-    its own size, never by the corpus. Null, empty and too short texts of either side give no rows;
-    repeated rows give one row; other columns are ignored. Nothing but counts of evaluation terms is
-    shuffled, so a source that holds a third of all documents is spread as the files are.
+    evaluation set is read by the driver and sent to the executors, and one of more than
+    ``MOST_ITEM_CHARS`` characters raises; it goes in parts then. Null, empty and too short texts of either
+    side give no rows; repeated rows give one row; other columns are ignored. Nothing but the lists of rare
+    terms is shuffled, so a source that holds a third of all documents is spread as the files are.
     """
+    chars = items.agg(F.sum(F.length(item_text_col)).alias("n")).first()["n"] or 0
+    if chars > MOST_ITEM_CHARS:
+        raise ValueError(f"evaluation items of {chars} characters, more than {MOST_ITEM_CHARS}")
     rows = items.select(F.col(item_col).cast("long"), F.col(item_text_col)).filter(F.col(item_col).isNotNull()).distinct().collect()
     lookup = read_items(sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1] or "")), least_words, least_cjk)
     staging = Staging(documents.sparkSession, "postings")
-    index = staging.write(build_index(documents, lookup, id_col, text_col))
-    counts = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    lookup.order_by_rarity({r["term"]: r["n"] for r in counts.collect()})
-    return search_index(index, lookup, id_col)
+    index = staging.write(build_index(documents, id_col, text_col))
+    return search_index(index, lookup, documents, id_col, text_col)
