@@ -3,11 +3,14 @@
 Each partition holds a DuckDB session with the merge table. The distinct words of a chunk of texts
 become rows (word, position, token); a recursive query joins neighbouring rows with the merge table
 and contracts, in each word, the occurrences of its pair of minimum rank from left to right, until no
-pair of any word has a merge. An ordered aggregate then gives each word's ids.
+pair of any word has a merge. An ordered aggregate then gives each word's ids. Every round of that query
+looks at the whole word, so an unbroken word of thousands of bytes (a line of base64, a protein) takes the
+same contractions, in the same order, from a heap of its pairs instead.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +26,7 @@ PRINTABLE_BYTES = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") +
 ROUNDS_PER_CALL = 48
 CHUNK_CHARS = 2_000_000
 CACHE_WORDS = 400_000
+LONG_WORD = 1_000  # bytes from which a word goes to the heap
 
 MERGE_SQL = f"""
 WITH RECURSIVE state(it, wid, pos, tok) AS (
@@ -94,8 +98,36 @@ class Merger:
         self.con.register("given", merges)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.unregister("given")
+        self.merges, self.by_pair = vocabulary.merges, None
         self.known: dict[str, list[int]] = {}
 
+    def _contract_long(self, tokens: list[int]) -> list[int]:
+        """Final ids of one long word: its pairs by rank, then place; a pair that is no longer there is passed over."""
+        if self.by_pair is None:
+            self.by_pair = {(left, right): (rank, made) for left, right, rank, made in zip(*self.merges, strict=True)}
+        find, n = self.by_pair.get, len(tokens)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(hit[0] << 40) | i for i in range(n - 1) if (hit := find((tokens[i], tokens[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            entry = heapq.heappop(heap)
+            i = entry & ((1 << 40) - 1)
+            j = after[i]
+            if tokens[i] < 0 or j >= n:
+                continue
+            hit = find((tokens[i], tokens[j]))
+            if hit is None or hit[0] != entry >> 40:
+                continue
+            tokens[i], tokens[j] = hit[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if hit := find((tokens[i], tokens[k])):
+                    heapq.heappush(heap, (hit[0] << 40) | i)
+            if (h := before[i]) >= 0 and (hit := find((tokens[h], tokens[i]))):
+                heapq.heappush(heap, (hit[0] << 40) | h)
+        return [t for t in tokens if t >= 0]
+
     def _contract(self, sizes, tokens) -> list[list[int]]:
         """Final ids of words given as runs of tokens; a word with more merges than a call allows goes on in the next."""
         np = self.np
@@ -124,6 +156,11 @@ class Merger:
         fresh = list({w for ws in split for w in ws if w not in self.known})
         if len(self.known) > CACHE_WORDS:
             self.known = {w: self.known[w] for ws in split for w in ws if w in self.known}
+        for word in [w for w in fresh if len(w) * 4 >= LONG_WORD]:
+            raw = word.encode("utf-8", "surrogatepass")
+            if len(raw) >= LONG_WORD:
+                self.known[word] = self._contract_long(self.byte_ids[self.np.frombuffer(raw, dtype=self.np.uint8)].tolist())
+        fresh = [w for w in fresh if w not in self.known]
         at = 0
         while at < len(fresh):
             raw, total = [], 0
@@ -144,7 +181,7 @@ def encode_corpus(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", t
     A string that looks like a special token is ordinary text; blank texts are encoded as they are; a
     null id stays null, repeated rows are kept. One narrow pass: no shuffle, each partition encodes each
     distinct word once (up to the size of its cache) and texts are taken in chunks of bounded length,
-    so memory does not grow with the partition. The merge table (50,000 rows) travels in the closure.
+    so memory does not grow with the partition, only with the longest text. The merge table (50,000 rows) travels in the closure.
     """
     vocabulary = df.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])

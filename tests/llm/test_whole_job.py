@@ -1,9 +1,13 @@
 """Vectors that cells alone do not bring together: dense regions, chains, clusters over many cells."""
 
+import random
+import time
+
 import numpy as np
+import pytest
 
-from sightline.llm import clusters, exact, neighbours, vectors
-from test_training_data import closed_sets, nearest_pairs, usable
+from sightline.llm import clusters, exact, leakage, neighbours, tokenizer, vectors
+from test_training_data import VOCABULARY, closed_sets, nearest_pairs, usable
 
 
 def frame(spark, x, repeat=()):
@@ -73,3 +77,70 @@ def test_one_cluster_over_many_cells_is_described_whole(spark, monkeypatch):
         found = clusters.similarity_clusters(df, "kp_id", "descriptor", together=together, exact=True)
         assert {tuple(r) for r in found.collect()} == want
     assert {r["cluster_id"]: r["n_parts"] for r in clusters.describe_clusters(found).collect()} == parts
+
+
+def test_dense_region_divided_by_inner_pivots(spark, monkeypatch):
+    """The region is cut into cells as it is where it holds a third of 200,000 rows; most neighbours are still found."""
+    monkeypatch.setattr(vectors, "DIVIDED_ROWS", 160)
+    monkeypatch.setattr(vectors, "INNER_ROWS", 80)
+    data, df = frame(spark, dense_and_other(n=600))
+    pivots = vectors.fit_pivots(df, "kp_id", "descriptor")
+    assert pivots.inner and len(pivots.every) >= len(pivots.points) + 6
+    want = {(a, b) for a, near in nearest_pairs(usable(data), 5, 120.0).items() for b, _ in near}
+    got = {(r["id"], r["neighbour"]) for r in neighbours.similar_vectors(df, "kp_id", "descriptor", 5, 120.0).collect()}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_cell_of_many_parts_is_searched_whole(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "DIVIDED_ROWS", 10**9)
+    monkeypatch.setattr(vectors, "PART_ROWS", 50)
+    data, df = frame(spark, dense_and_other(n=300), range(0, 300, 30))
+    pivots = vectors.fit_pivots(df, "kp_id", "descriptor")
+    assert max(pivots.parts.values()) >= 6
+    want = {(a, b) for a, near in nearest_pairs(usable(data), 5, 120.0).items() for b, _ in near}
+    got = {(r["id"], r["neighbour"]) for r in neighbours.similar_vectors(df, "kp_id", "descriptor", 5, 120.0).collect()}
+    assert len(got & want) / len(want) >= 0.97
+    found = {(r["id"], r["cluster_id"]) for r in clusters.cluster_members(df, "kp_id", "descriptor").collect()}
+    assert found == closed_sets(usable(data), 240.0, 8)
+
+
+def test_chains_where_vectors_visit_the_cells_they_are_near_to(spark):
+    data, df = frame(spark, chains(n=30), (150, 200))
+    want = closed_sets(usable(data), 240.0, 8)
+    assert {(r["id"], r["cluster_id"]) for r in clusters.cluster_members(df, "kp_id", "descriptor").collect()} == want
+
+
+@pytest.mark.parametrize(("n", "letters"), [(1_000_000, "abcdefghijklmnopqrstuvwxyz"), (200_000, "ACDEFGHIKLMNPQRSTVWY"), (100_000, "a"), (50_000, "ab漢é")])
+def test_long_unbroken_words(n, letters):
+    from tokenizers import Tokenizer
+
+    word = "".join(random.Random(4).choices(letters, k=n))
+    merger = tokenizer.Merger(tokenizer.load_vocabulary(VOCABULARY))
+    began = time.time()
+    assert merger.encode([word])[0] == Tokenizer.from_file(VOCABULARY).encode(word, add_special_tokens=False).ids
+    assert time.time() - began < 30
+
+
+def test_heap_and_query_contract_alike(monkeypatch):
+    vocabulary, r = tokenizer.load_vocabulary(VOCABULARY), random.Random(5)
+    texts = ["".join(r.choices("abcdee ing漢é-1", k=r.randint(1, 300))) for _ in range(40)]
+    query = tokenizer.Merger(vocabulary).encode(texts)
+    monkeypatch.setattr(tokenizer, "LONG_WORD", 1)
+    assert tokenizer.Merger(vocabulary).encode(texts) == query
+
+
+def test_index_holds_every_word_of_every_document(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "SHARD_DOCUMENTS", 2)
+    docs = spark.createDataFrame([(7, "b a b"), (8, None), (9, ""), (10, "A c"), (None, "d"), (11, "b")], "doc_id long, text string").coalesce(1)
+    index = leakage.build_index(docs, "doc_id", "text").collect()
+    ids = {r["shard"]: r["ids"] for r in index if r["term"] is None}
+    got = {(r["term"], ids[r["shard"]][d], p) for r in index if r["term"] for d, p in zip(r["docs"], r["positions"])}
+    assert got == {("a", 7, 1), ("b", 7, 0), ("b", 7, 2), ("a", 10, 0), ("c", 10, 1), ("b", 11, 0)}
+    assert sorted(ids.values()) == [[7, 10], [11]] and all(r["n"] == len(r["docs"]) for r in index)
+
+
+def test_too_large_an_evaluation_set_says_so(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "MOST_ITEM_CHARS", 3)
+    one = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        leakage.find_leaks(one, one.withColumnRenamed("doc_id", "item_id"))
