@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ class Item:
     own: tuple[bool, ...]
     least: int
 
+    @cached_property
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.terms, np.int32), np.array(self.own, bool)
+
 
 @dataclass
 class Lookup:
@@ -153,30 +158,47 @@ def _reach(item: Sequence[int], doc: Sequence[int], i: int, j: int, step: int, s
     return best
 
 
+def _exact_runs(item: Item, doc: np.ndarray, diagonal: int) -> list[tuple[int, int]]:
+    """(first word, end) of the item's own words that stand in the document one after another, ``WINDOW`` or more."""
+    terms, own = item.arrays
+    low, high = max(0, -diagonal), min(len(terms), len(doc) - diagonal)
+    if high - low < WINDOW:
+        return []
+    same = np.zeros(high - low + 2, np.int8)
+    same[1:-1] = (terms[low:high] == doc[low + diagonal : high + diagonal]) & own[low:high]
+    turns = np.flatnonzero(same[1:] != same[:-1])
+    return [(low + s, low + e) for s, e in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True) if e - s >= WINDOW]
+
+
 def _stretch(item: Item, doc: Sequence[int], diagonal: int) -> tuple[int, int, int] | None:
-    """(first word, words, changes) of the item's longest stretch allowed around exact runs on a diagonal."""
-    n, best = len(item.terms), None
-    i = max(0, -diagonal)
-    while i < n and i + diagonal < len(doc):
-        start = i
-        while i < n and i + diagonal < len(doc) and item.own[i] and item.terms[i] == doc[i + diagonal]:
-            i += 1
-        if i - start >= WINDOW:
-            low = start
-            while low and item.own[low - 1]:
-                low -= 1
-            high = i
-            while high < n and item.own[high]:
-                high += 1
-            most = (high - low) // 10
-            left = _reach(item.terms, doc, start - 1, start - 1 + diagonal, -1, start - low, most)
-            right = _reach(item.terms, doc, i, i + diagonal, 1, high - i, most)
+    """(first word, words, changes) of the item's longest stretch allowed around exact runs on a diagonal.
+
+    A stretch of c changes has c + 1 runs of (10 c - c) words or more together, so around one of them
+    ``least // 10 + 1`` changes are enough to reach ``least`` words. Runs that do not are not followed further.
+    """
+    numbers = np.asarray(doc, np.int32)
+    runs = _exact_runs(item, numbers, diagonal)
+    if not runs:
+        return None
+    best, first = None, item.least // 10 + 1
+    words_ = numbers.tolist() if isinstance(doc, np.ndarray) else doc
+    for start, end in runs:
+        low, high = start, end
+        while low and item.own[low - 1]:
+            low -= 1
+        while high < len(item.terms) and item.own[high]:
+            high += 1
+        for most in sorted({min(first, (high - low) // 10), (high - low) // 10}):
+            left = _reach(item.terms, words_, start - 1, start - 1 + diagonal, -1, start - low, most)
+            right = _reach(item.terms, words_, end, end + diagonal, 1, high - end, most)
+            if max(left[a] + right[most - a] for a in range(most + 1)) + end - start < item.least:
+                break
+        else:
             for a, before in enumerate(left):
                 for b, after in enumerate(right):
-                    length = before + (i - start) + after
+                    length = before + (end - start) + after
                     if length >= item.least and 10 * (a + b) <= length and (best is None or (length, -a - b) > (best[1], -best[2])):
                         best = (start - before, length, a + b)
-        i = max(i, start + 1)
     return best
 
 
@@ -188,12 +210,20 @@ def _agreeing(rows: pa.Table, look: Lookup) -> pa.Table:
             ids = directory
         else:
             lists.append((look.terms[term], docs, positions))
-    agree: dict[tuple[int, int, int], set[int]] = {}
+    parts = []
     for term, docs, positions in lists:
-        for n, i in look.anchors[term]:
-            for doc, p in zip(docs, positions, strict=True):
-                agree.setdefault((doc, n, p - i), set()).add(i)
-    found = [(ids[doc], n, d) for (doc, n, d), places in agree.items() if len(places) > 1 and any(a in places and b in places for a, b in look.pairs[n])]
+        doc, place = np.array(docs, np.int64), np.array(positions, np.int64)
+        parts.extend(np.stack([doc, np.full(len(doc), n), place - i, np.full(len(doc), i)], 1) for n, i in look.anchors[term])
+    found = []
+    if parts:
+        rows_ = np.unique(np.concatenate(parts), axis=0)
+        new = np.flatnonzero(np.r_[True, (rows_[1:, :3] != rows_[:-1, :3]).any(1)])
+        for s, e in zip(new.tolist(), [*new[1:].tolist(), len(rows_)], strict=True):
+            if e - s > 1:
+                doc, n, d = rows_[s, :3].tolist()
+                places = set(rows_[s:e, 3].tolist())
+                if any(a in places and b in places for a, b in look.pairs[n]):
+                    found.append((ids[doc], n, d))
     columns = list(zip(*found, strict=True)) or [[], [], []]
     return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("id", "n", "diagonal"), columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)})
 
@@ -222,7 +252,7 @@ def search_index(index: DataFrame, lookup: Lookup, documents: DataFrame, id_col:
         for batch in batches:
             out: list[tuple] = []
             for doc, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sequence = [look.terms.get(w, -1) for w in words(text)]
+                sequence = np.array([look.terms.get(w, -1) for w in words(text)], np.int32)
                 candidates: dict[int, list[int]] = {}
                 for place in at:
                     candidates.setdefault(place["n"], []).append(place["diagonal"])
