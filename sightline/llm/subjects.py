@@ -1,8 +1,10 @@
 """Subject areas of documents by class-association rules over sentences.
 
-Sentences of labelled documents are transactions of words, word pairs and the document's area. Parallel
+Sentences of training documents are transactions of words, word pairs and an area. Parallel
 frequent-pattern growth mines rules "these terms -> area"; a rule is dropped if a part of its terms says
-the same at least as surely. Held-out labelled documents calibrate what a rule's confidence is worth. Each
+the same at least as surely. The first rules come from labelled documents and the areas' own titles and
+descriptions; they then label the sentences of the training documents, those without a label too, and
+rules are mined again. Held-out labelled documents calibrate what a rule's confidence is worth. Each
 sentence of every document is then judged by the rules it matches, and a document has the areas that a
 fifth of its sentences treat.
 """
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +26,9 @@ from sightline.llm.textnorm import plain
 from sightline.runtime import Staging
 
 CLASS = "="
+SENTENCES = 2_500
+PRIOR = 20.0
+ROUNDS = 2  # of labelling sentences by the rules so far and mining again
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _BLOCK_TAG = re.compile(r"</?(?:div|p|li|ul|ol|td|tr|table|h\d)\b[^<>]{0,200}>|<br\s*/?>\s*<br\s*/?>", re.I)
 _HEADING = re.compile(r"(?m)^\s*(?:#{1,6}\s.*|[=_*~-]{3,}\s*|<h\d.*?</h\d>\s*)$")
@@ -75,26 +81,68 @@ class Rules:
         return _judge_items(self, items_of(terms))
 
 
-def _sentence_rows(df: DataFrame) -> DataFrame:
-    """``doc_id, label, items`` of each sentence."""
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("items", pa.list_(pa.string()))])
+TRAINING = "doc_id bigint, given array<string>, held boolean, sents array<array<string>>"
+
+
+def _training_rows(df: DataFrame) -> DataFrame:
+    """``doc_id, given, held, sents``: the labels of each document and the items of each of its sentences."""
+    kinds = [("doc_id", pa.int64()), ("given", pa.list_(pa.string())), ("held", pa.bool_()), ("sents", pa.list_(pa.list_(pa.string())))]
+    schema = pa.schema(kinds)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, label, sorted(items_of(s))) for d, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in sentences(text)]
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            items = [[sorted(items_of(s)) for s in sentences(text)] for text in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, kinds[3][1])], schema=schema)
+
+    return df.select("doc_id", "given", "held", "text").mapInArrow(split, TRAINING)
+
+
+def _labelled(training: DataFrame, rules: Rules, share: float) -> DataFrame:
+    """``doc_id, labels, items`` of the sentences of documents whose areas are known; none in documents said to have none.
+
+    Without rules a sentence has all labels of its document. With rules it has the area they judge it to
+    treat; one that they do not judge has all areas they find in its document, or the labels it was given if
+    they find none. Documents without a label or a found area are left out.
+    """
+    shared = training.sparkSession.sparkContext.broadcast(rules)
+    schema = pa.schema([("doc_id", pa.int64()), ("labels", pa.list_(pa.string())), ("items", pa.list_(pa.string()))])
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, given, sents in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                found = [v[0] if (v := _judge_items(model, set(items))) and model.worth(v[1]) >= 0.5 else None for items in sents] if model.by_item else [None] * len(sents)
+                counts = Counter(a for a in found if a)
+                areas = sorted(a for a, n in counts.items() if n >= share * len(sents)) or [g for g in given or [] if g]
+                if areas or given:
+                    out.extend((doc, [area] if area in areas else areas if len(areas) < 3 else [], items) for area, items in zip(found, sents, strict=True))
+            columns = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return df.select("doc_id", "label", "text").mapInArrow(split, "doc_id bigint, label string, items array<string>")
+    return training.mapInArrow(label, "doc_id bigint, labels array<string>, items array<string>")
+
 
+def _evidence(hits: int, total: int, base: float) -> float:
+    """How much likelier so many hits are at their own rate than at the base rate, in nats."""
+    miss = total - hits
+    return hits * math.log(hits / total / base) + (miss * math.log(miss / total / max(1 - base, 1e-9)) if miss else 0.0)
 
-def _prune(found: dict[frozenset[str], dict[str, int]], support: dict[frozenset[str], int], least_confidence: float) -> list[tuple[frozenset[str], str, float]]:
-    """Rules whose smoothed confidence is high enough and above that of every rule with fewer of the same terms."""
+
+def _prune(found: dict[frozenset[str], dict[str, int]], support: dict[frozenset[str], int], least_confidence: float, base: dict[str, float] | None = None) -> list[tuple[frozenset[str], str, float]]:
+    """Rules whose smoothed confidence is high enough and above that of every rule with fewer of the same terms.
+
+    With the ``base`` rates of areas a rule must also be less likely by chance than one in as many as were
+    looked at.
+    """
     kept: dict[tuple[frozenset[str], str], float] = {}
+    least = math.log(len(support) + 1)
     for antecedent in sorted(found, key=lambda a: (len(a), sorted(a))):
         for area, hits in found[antecedent].items():
             confidence = (hits + 0.2) / (support[antecedent] + 1.0)
-            if area == "" or confidence < least_confidence:
+            if confidence < least_confidence:
+                continue
+            if base is not None and (hits / support[antecedent] <= base[area] or _evidence(hits, support[antecedent], base[area]) < least):
                 continue
             parts = [antecedent - {x} for x in antecedent] if len(antecedent) > 1 else []
             parts += [frozenset([x]) for x in antecedent] if len(antecedent) > 2 else []
@@ -103,78 +151,125 @@ def _prune(found: dict[frozenset[str], dict[str, int]], support: dict[frozenset[
     return [(a, area, c) for (a, area), c in kept.items()]
 
 
-def learn_rules(
-    documents: DataFrame, labels: DataFrame, subjects: list[str], max_labelled: int = 20_000, items_per_sentence: int = 6, least_support: int = 4, least_documents: int = 3, least_confidence: float = 0.55
-) -> Rules:
-    """Rules from documents with one label, ``""`` being the label of those without an area.
-
-    At most ``max_labelled`` labelled documents are used, chosen by a hash of their id, so all that
-    reaches the driver is bounded by that parameter. Labels are compared in lower case without blanks;
-    unknown ones are left out. Of each sentence the ``items_per_sentence`` most telling items of
-    ``least_documents`` documents or more become a transaction. A fifth of the documents, by another hash, is kept for the calibration.
+def training_documents(documents: DataFrame, labels: DataFrame, subject_areas: DataFrame, max_labelled: int = 20_000, least_training: int = 4_000) -> DataFrame:
+    """``doc_id, given, held, text``: the documents that rules are mined from, and titles and descriptions of areas.
+
+    At most ``max_labelled`` labelled documents, chosen by a hash of their id, so all that reaches the driver is
+    bounded by that parameter; fewer than ``least_training`` are filled up by documents without a label, chosen
+    likewise. Labels are compared in lower case without blanks; unknown ones are left out. A fifth of the
+    documents with one label, by another hash, is held for the calibration. An area is a document with a
+    negative id.
     """
-    spark = documents.sparkSession
-    staging = Staging(spark, "rules")
     name = F.lower(F.trim("subject"))
-    known = labels.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(name, F.lit("")).alias("label")).filter(F.col("label").isin(*subjects, "")).distinct()
-    single = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("label")).filter("n = 1")
-    chosen = single.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", "label")
-    rows = _sentence_rows(documents.select("doc_id", "text").join(chosen, "doc_id"))
-    rows = staging.write(rows.withColumn("held", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("held")), F.lit(5)) == 0))
-    mined = rows.filter(~F.col("held"))
-    counts = mined.select("doc_id", "label", F.explode("items").alias("item")).groupBy("item", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
-    per_item = counts.groupBy("item").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs"), F.max(F.when(F.col("label") != "", F.col("n"))).alias("top"))
+    areas = subject_areas.filter("subject IS NOT NULL").select(name.alias("label"), "title", "description").distinct()
+    named = labels.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(name, F.lit("")).alias("label")).distinct()
+    known = named.join(F.broadcast(areas.select("label").distinct().unionByName(labels.sparkSession.createDataFrame([("",)], "label string"))), "label")
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("given")).orderBy(*by_hash).limit(max_labelled)
+    held = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("held")), F.lit(5)) == 0) & (F.size("given") == 1)
+    texts = documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = texts.join(chosen, "doc_id").select("doc_id", "given", held.alias("held"), "text")
+    wanted = least_training - chosen.count()
+    if wanted > 0:
+        other = texts.select("doc_id").join(chosen, "doc_id", "left_anti").orderBy(*by_hash).limit(wanted)
+        parts = parts.unionByName(texts.join(other, "doc_id").select("doc_id", F.array().cast("array<string>").alias("given"), F.lit(False).alias("held"), "text"))
+    both = F.concat_ws(". ", "title", "description")
+    said = areas.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.concat_ws(". ", both, both).alias("text")) for n in range(3)])).alias("d"))
+    said = said.select((-F.abs(F.xxhash64("label", "d.n", "d.text"))).alias("doc_id"), F.array("label").alias("given"), F.lit(False).alias("held"), F.col("d.text").alias("text"))
+    return parts.unionByName(said)
+
+
+def learn_rules(
+    documents: DataFrame, labels: DataFrame, subject_areas: DataFrame, items_per_sentence: int = 6, least_confidence: float = 0.55, share: float = 0.2, rounds: int = ROUNDS,
+    max_labelled: int = 20_000, least_training: int = 4_000,
+) -> Rules:
+    """Rules mined from :func:`training_documents` in ``rounds`` rounds after the first, and their calibration.
+
+    Of each sentence the ``items_per_sentence`` most telling items become a transaction. An item or rule must
+    occur in one of ``SENTENCES`` sentences (twice at least, five times at most) and an item in two documents
+    (three, of 500 or more).
+    """
+    staging = Staging(documents.sparkSession, "rules")
+    training = staging.write(_training_rows(training_documents(documents, labels, subject_areas, max_labelled, least_training)))
+    rules = Rules()
+    for _ in range(rounds + 1):
+        rows = staging.write(_labelled(training.filter("NOT held"), rules, share))
+        fresh = _mine(rows, staging, items_per_sentence, least_confidence)
+        staging.drop(rows)
+        if not fresh.by_item:
+            break
+        rules = fresh
+        calibrate(rules, training.filter("held"))
+    return rules
+
+
+def _mine(rows: DataFrame, staging: Staging, items_per_sentence: int, least_confidence: float) -> Rules:
+    size = rows.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    least_support, least_documents = min(5, max(2, -(-size[0] // SENTENCES))), 3 if size[1] >= 500 else 2
+    # every sentence counts once for its item under the empty label, and once for each of its labels
+    marked = rows.select("doc_id", F.explode("items").alias("item"), F.concat(F.array(F.lit("")), "labels").alias("labels"))
+    counts = marked.select("doc_id", "item", F.explode("labels").alias("label")).groupBy("item", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    whole, named = F.col("label") == "", F.when(F.col("label") != "", F.col("n"))
+    per_item = counts.groupBy("item").agg(F.max(F.when(whole, F.col("n"))).alias("all"), F.max(F.when(whole, F.col("docs"))).alias("docs"), F.max(named).alias("top"))
     per_item = per_item.filter((F.col("all") >= least_support) & (F.col("docs") >= least_documents))
     telling = {r["item"]: (r["top"] / (r["all"] + 1.0), r["all"]) for r in per_item.filter(F.col("top") >= 0.2 * F.col("all")).collect()}
     rules = Rules()
     if not telling:
         return rules
-    shared = spark.sparkContext.broadcast(telling)
+    shared = rows.sparkSession.sparkContext.broadcast(telling)
     schema = pa.schema([("basket", pa.list_(pa.string()))])
 
     def baskets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for label, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for labels, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 best = sorted((i for i in items if i in shared.value), key=lambda i: (-shared.value[i][0], -shared.value[i][1], i))
-                out.append([*best[:items_per_sentence], CLASS + label])
+                out.append([*best[:items_per_sentence], *(CLASS + a for a in labels)])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], schema=schema)
 
-    transactions = staging.write(mined.select("label", "items").mapInArrow(baskets, "basket array<string>"))
-    n = transactions.count()
-    growth = FPGrowth(itemsCol="basket", minSupport=min(1.0, least_support / max(n, 1)), minConfidence=1.0).fit(transactions)
+    transactions = staging.write(rows.select("labels", "items").mapInArrow(baskets, "basket array<string>"))
+    growth = FPGrowth(itemsCol="basket", minSupport=min(1.0, least_support / max(size[0], 1)), minConfidence=1.0).fit(transactions)
     frequent = growth.freqItemsets.filter(F.size("items") <= 4)
     found: dict[frozenset[str], dict[str, int]] = {}
     support: dict[frozenset[str], int] = {}
+    base: dict[str, float] = {}
     for r in frequent.collect():
         classes = [i for i in r["items"] if i.startswith(CLASS)]
         rest = frozenset(i for i in r["items"] if not i.startswith(CLASS))
-        if not rest:
+        if not rest and len(classes) == 1:
+            base[classes[0][len(CLASS) :]] = r["freq"] / size[0]
+        if not rest or len(classes) > 1:
             continue
         if classes:
             found.setdefault(rest, {})[classes[0][len(CLASS) :]] = r["freq"]
         else:
             support[rest] = r["freq"]
-    for antecedent, area, confidence in _prune(found, support, least_confidence):
-        rules.by_item.setdefault(min(antecedent), []).append((antecedent, area, min(confidence, 0.999)))
-    calibrate(rules, rows.filter("held"))
+    for antecedent, area, confidence in _prune(found, support, least_confidence, base):
+        rarest = min(antecedent, key=lambda i: (telling[i][1], i))
+        rules.by_item.setdefault(rarest, []).append((antecedent, area, min(confidence, 0.999)))
     return rules
 
 
 def calibrate(rules: Rules, held: DataFrame) -> None:
-    """Steps from a rule's confidence to how often held-out sentences it judged had that label, made monotone."""
-    judged = []
-    for r in held.select("label", "items").collect():
-        verdict = _judge_items(rules, set(r["items"]))
-        if verdict:
-            judged.append((verdict[1], verdict[0] == r["label"]))
-    bins: dict[float, list[int]] = {}
-    for score, right in judged:
-        b = bins.setdefault(math.floor(score * 20) / 20, [0, 0])
-        b[0] += right
-        b[1] += 1
-    # a bin begins with two sentences that bear its confidence out, so few held-out sentences do not outvote the rules
-    blocks = [[at, hits + 2.0 * (at + 0.025), total + 2.0] for at, (hits, total) in sorted(bins.items())]
+    """Steps from a rule's confidence to how often held-out sentences it judged had that label, made monotone.
+
+    Only counts by bin reach the driver."""
+    shared = held.sparkSession.sparkContext.broadcast(rules)
+    schema = pa.schema([("bin", pa.int32()), ("right", pa.bool_())])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for given, sents in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                verdicts = [v for items in sents if (v := _judge_items(shared.value, set(items)))]
+                out.extend((math.floor(score * 20), area == given[0]) for area, score in verdicts)
+            columns = list(zip(*out, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    counts = held.mapInArrow(judge, "bin int, right boolean").groupBy("bin").agg(F.count_if("right").alias("hits"), F.count(F.lit(1)).alias("n"))
+    bins = {r["bin"] / 20: (r["hits"], r["n"]) for r in counts.collect()}
+    # a bin begins with sentences that bear its confidence out, so few held-out sentences do not outvote the rules
+    blocks = [[at, hits + PRIOR * (at + 0.025), total + PRIOR] for at, (hits, total) in sorted(bins.items())]
     merged: list[list[float]] = []
     for block in blocks:  # pool neighbours that are out of order
         merged.append(block)
@@ -234,13 +329,13 @@ def subject_evidence(documents: DataFrame, rules: Rules, id_col: str = "doc_id",
 def assign_subjects(documents: DataFrame, labels: DataFrame, subject_areas: DataFrame, share: float = 0.2) -> DataFrame:
     """``doc_id, subject`` for every area that at least ``share`` of a document's sentences treat.
 
-    Null, empty and junk texts have no area; repeated documents or labels change nothing; without usable
-    labels no document has an area. Other columns are ignored. ``subject_areas`` is the list of classes,
+    Null, empty and junk texts have no area; repeated documents or labels change nothing; without labels
+    only what titles and descriptions tell is found. Other columns are ignored. ``subject_areas`` is the list of classes,
     read by the driver.
     """
     subjects = [r[0] for r in subject_areas.select("subject").filter("subject IS NOT NULL").distinct().collect()]
     lowered = {s.strip().lower(): s for s in subjects}
-    rules = learn_rules(documents, labels, sorted(lowered))
+    rules = learn_rules(documents, labels, subject_areas, share=share)
     found = subject_evidence(documents, rules).filter(F.col("n_treat") >= share * F.col("n_sentences"))
     exact = F.create_map(*[F.lit(x) for pair in sorted(lowered.items()) for x in pair]) if lowered else F.create_map(F.lit(""), F.lit(""))
     return found.select("doc_id", exact[F.col("subject")].alias("subject")).filter("doc_id IS NOT NULL").distinct()

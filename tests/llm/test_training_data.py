@@ -338,6 +338,7 @@ def test_rules_are_pruned_and_calibrated():
     support = {frozenset("a"): 10, frozenset("b"): 10, frozenset("ab"): 5}
     kept = subjects._prune({frozenset("a"): {"x": 9}, frozenset("ab"): {"x": 4, "y": 1}, frozenset("b"): {"x": 5}}, support, 0.55)
     assert {tuple(sorted(a)) for a, _, _ in kept} == {("a",)}
+    assert not subjects._prune({frozenset("a"): {"x": 9}}, support, 0.55, {"x": 0.85}) and subjects._prune({frozenset("a"): {"x": 9}}, support, 0.55, {"x": 0.1})
     rules = subjects.Rules({"a": [(frozenset("a"), "x", 0.8)]}, [(0.0, 0.3), (0.75, 0.9)])
     assert rules.judge(["a", "c"]) == ("x", 0.8) and rules.judge(["c"]) is None and rules.worth(0.8) == 0.9
 
