@@ -204,26 +204,28 @@ def _stretch(item: Item, doc: Sequence[int], diagonal: int) -> tuple[int, int, i
 
 def _agreeing(rows: pa.Table, look: Lookup) -> pa.Table:
     """``id, n, diagonal``: where two rare terms of a window of item ``n`` stand in a document as they do in the item."""
-    ids, lists = None, []
-    for term, docs, positions, directory in zip(*(rows[c].to_pylist() for c in ("term", "docs", "positions", "ids")), strict=True):
-        if term is None:
-            ids = directory
-        else:
-            lists.append((look.terms[term], docs, positions))
+    rows = rows.combine_chunks()
+    terms = rows["term"].to_pylist()
+    ids = rows["ids"][terms.index(None)].as_py()
+    docs, positions = (rows[c].chunk(0) for c in ("docs", "positions"))
+    ends, docs, positions = docs.offsets.to_numpy(), docs.values.to_numpy(), positions.values.to_numpy()
     parts = []
-    for term, docs, positions in lists:
-        doc, place = np.array(docs, np.int64), np.array(positions, np.int64)
-        parts.extend(np.stack([doc, np.full(len(doc), n), place - i, np.full(len(doc), i)], 1) for n, i in look.anchors[term])
+    for k, term in enumerate(terms):
+        if term is not None:
+            doc, place = docs[ends[k] : ends[k + 1]], positions[ends[k] : ends[k + 1]]
+            parts.extend((doc, np.full(len(doc), n, np.int32), place - np.int32(i), np.full(len(doc), i, np.int32)) for n, i in look.anchors[look.terms[term]])
     found = []
     if parts:
-        rows_ = np.unique(np.concatenate(parts), axis=0)
-        new = np.flatnonzero(np.r_[True, (rows_[1:, :3] != rows_[:-1, :3]).any(1)])
-        for s, e in zip(new.tolist(), [*new[1:].tolist(), len(rows_)], strict=True):
-            if e - s > 1:
-                doc, n, d = rows_[s, :3].tolist()
-                places = set(rows_[s:e, 3].tolist())
-                if any(a in places and b in places for a, b in look.pairs[n]):
-                    found.append((ids[doc], n, d))
+        doc, n, diagonal, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((diagonal, n, doc))
+        doc, n, diagonal, at = doc[order], n[order], diagonal[order], at[order]
+        same = (doc[1:] == doc[:-1]) & (n[1:] == n[:-1]) & (diagonal[1:] == diagonal[:-1])
+        new = np.flatnonzero(np.r_[True, ~same])
+        sizes = np.diff(np.r_[new, len(doc)])
+        for s, size in zip(new[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            places = set(at[s : s + size].tolist())
+            if any(a in places and b in places for a, b in look.pairs[n[s]]):
+                found.append((ids[doc[s]], int(n[s]), int(diagonal[s])))
     columns = list(zip(*found, strict=True)) or [[], [], []]
     return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("id", "n", "diagonal"), columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)})
 
