@@ -129,14 +129,13 @@ def _evidence(hits: int, total: int, base: float) -> float:
     return hits * math.log(hits / total / base) + (miss * math.log(miss / total / max(1 - base, 1e-9)) if miss else 0.0)
 
 
-def _prune(found: dict[frozenset[str], dict[str, int]], support: dict[frozenset[str], int], least_confidence: float, base: dict[str, float] | None = None) -> list[tuple[frozenset[str], str, float]]:
+def _prune(found: dict[frozenset[str], dict[str, int]], support: dict[frozenset[str], int], least_confidence: float, base: dict[str, float] | None = None, looked: int = 0) -> list[tuple[frozenset[str], str, float]]:
     """Rules whose smoothed confidence is high enough and above that of every rule with fewer of the same terms.
 
-    With the ``base`` rates of areas a rule must also be less likely by chance than one in as many as were
-    looked at.
+    With the ``base`` rates of areas a rule must also be less likely by chance than one in the ``looked`` at.
     """
     kept: dict[tuple[frozenset[str], str], float] = {}
-    least = math.log(len(support) + 1)
+    least = math.log(max(looked, len(support)) + 1)
     for antecedent in sorted(found, key=lambda a: (len(a), sorted(a))):
         for area, hits in found[antecedent].items():
             confidence = (hits + 0.2) / (support[antecedent] + 1.0)
@@ -203,6 +202,29 @@ def learn_rules(
     return rules
 
 
+def _candidates(frequent: DataFrame, staging: Staging, size: int, least_confidence: float) -> tuple[dict[frozenset[str], dict[str, int]], dict[frozenset[str], int], dict[str, float], int]:
+    """Hits of rules sure enough, by antecedent and area; support of their antecedents; rates of areas; antecedents looked at.
+
+    Confidences are taken where the item sets are, so only rules that pass reach the driver.
+    """
+    def is_class(x):
+        return F.startswith(x, F.lit(CLASS))
+
+    sets = frequent.select(F.filter("items", is_class).alias("of"), F.array_sort(F.filter("items", lambda x: ~is_class(x))).alias("rest"), "freq").filter(F.size("of") <= 1)
+    sets = staging.write(sets)
+    whole = sets.filter((F.size("of") == 0) & (F.size("rest") > 0)).select("rest", F.col("freq").alias("total"))
+    rules = sets.filter((F.size("of") == 1) & (F.size("rest") > 0)).join(whole, "rest").filter((F.col("freq") + 0.2) / (F.col("total") + 1.0) >= least_confidence)
+    found: dict[frozenset[str], dict[str, int]] = {}
+    support: dict[frozenset[str], int] = {}
+    for r in rules.select("rest", F.col("of")[0].alias("area"), "freq", "total").collect():
+        rest = frozenset(r["rest"])
+        found.setdefault(rest, {})[r["area"][len(CLASS) :]], support[rest] = r["freq"], r["total"]
+    base = {r["area"][len(CLASS) :]: r["freq"] / size for r in sets.filter((F.size("of") == 1) & (F.size("rest") == 0)).select(F.col("of")[0].alias("area"), "freq").collect()}
+    looked = whole.count()
+    staging.drop(sets)
+    return found, support, base, looked
+
+
 def _mine(rows: DataFrame, staging: Staging, items_per_sentence: int, least_confidence: float) -> Rules:
     size = rows.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     least_support, least_documents = min(5, max(2, -(-size[0] // SENTENCES))), 3 if size[1] >= 500 else 2
@@ -229,22 +251,8 @@ def _mine(rows: DataFrame, staging: Staging, items_per_sentence: int, least_conf
 
     transactions = staging.write(rows.select("labels", "items").mapInArrow(baskets, "basket array<string>"))
     growth = FPGrowth(itemsCol="basket", minSupport=min(1.0, least_support / max(size[0], 1)), minConfidence=1.0).fit(transactions)
-    frequent = growth.freqItemsets.filter(F.size("items") <= 4)
-    found: dict[frozenset[str], dict[str, int]] = {}
-    support: dict[frozenset[str], int] = {}
-    base: dict[str, float] = {}
-    for r in frequent.collect():
-        classes = [i for i in r["items"] if i.startswith(CLASS)]
-        rest = frozenset(i for i in r["items"] if not i.startswith(CLASS))
-        if not rest and len(classes) == 1:
-            base[classes[0][len(CLASS) :]] = r["freq"] / size[0]
-        if not rest or len(classes) > 1:
-            continue
-        if classes:
-            found.setdefault(rest, {})[classes[0][len(CLASS) :]] = r["freq"]
-        else:
-            support[rest] = r["freq"]
-    for antecedent, area, confidence in _prune(found, support, least_confidence, base):
+    found, support, base, looked = _candidates(growth.freqItemsets.filter(F.size("items") <= 4), staging, size[0], least_confidence)
+    for antecedent, area, confidence in _prune(found, support, least_confidence, base, looked):
         rarest = min(antecedent, key=lambda i: (telling[i][1], i))
         rules.by_item.setdefault(rarest, []).append((antecedent, area, min(confidence, 0.999)))
     return rules
