@@ -83,26 +83,30 @@ def orphan_references(references: Sequence[Reference], targets: Mapping[str, Tar
 
 @dataclass(frozen=True)
 class Link:
-    """A foreign key for the cascade: rows ``child_key -> parent_key`` of two named tables."""
+    """A foreign key for the cascade: rows ``child_key -> parent_key`` of two named tables, and the child's time, if it has one."""
 
     child: str
     parent: str
     rows: DataFrame
     child_key: str
     parent_key: str
+    at: str | None = None
 
 
 def orphan_cascade(direct: DataFrame, links: Sequence[Link], max_rounds: int = 50) -> DataFrame:
-    """Direct orphans and all that is orphaned with them: ``tbl, id, kind, depth``.
+    """Direct orphans and all that is orphaned with them: ``tbl, id, kind, depth``, and ``at`` if ``direct`` has it.
 
     ``direct`` has the directly orphaned records as ``tbl, id``. Each round takes the records orphaned
     in the last one, finds their children by a semi-join along every link that leaves from their table,
     drops those already known, and stops when a round finds none; a cycle of links therefore ends too.
     Each round is written to the shared folder, so lineage does not grow. A record that is orphaned both
-    ways is ``direct`` (depth 0); an ``inherited`` one has the least depth. No orphans give no rows.
+    ways is ``direct`` (depth 0); an ``inherited`` one has the least depth. Of several times of a record the
+    first counts. No orphans give no rows; orphans left after ``max_rounds`` raise.
     """
     staging = Staging(direct.sparkSession, "cascade")
-    fresh = staging.write(direct.select("tbl", F.col("id").cast("long").alias("id")).filter("id IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    timed = "at" in direct.columns
+    first = F.min(F.col("at") if timed else F.lit(None).cast("timestamp")).alias("at")
+    fresh = staging.write(direct.filter("id IS NOT NULL").groupBy("tbl", F.col("id").cast("long").alias("id")).agg(first).withColumn("depth", F.lit(0)))
     known, tables = fresh, {r[0] for r in fresh.select("tbl").distinct().collect()}
     for depth in range(1, max_rounds + 1):
         found = None
@@ -110,12 +114,14 @@ def orphan_cascade(direct: DataFrame, links: Sequence[Link], max_rounds: int = 5
             if link.parent not in tables:
                 continue
             parents = fresh.filter(F.col("tbl") == link.parent).select(F.col("id").alias("p"))
-            rows = link.rows.select(F.col(link.child_key).cast("long").alias("id"), F.col(link.parent_key).cast("long").alias("p")).filter("id IS NOT NULL")
-            hit = rows.join(parents, "p", "left_semi").select(F.lit(link.child).alias("tbl"), "id")
+            at = F.col(link.at) if link.at else F.lit(None).cast("timestamp")
+            rows = link.rows.select(F.col(link.child_key).cast("long").alias("id"), F.col(link.parent_key).cast("long").alias("p"), at.alias("at")).filter("id IS NOT NULL")
+            hit = rows.join(parents, "p", "left_semi").select(F.lit(link.child).alias("tbl"), "id", "at")
             found = hit if found is None else found.unionByName(hit)
         if found is None:
             break
-        fresh = staging.write(found.distinct().join(known.select("tbl", "id"), ["tbl", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = found.groupBy("tbl", "id").agg(F.min("at").alias("at"))
+        fresh = staging.write(found.join(known.select("tbl", "id"), ["tbl", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         tables = {r[0] for r in fresh.select("tbl").distinct().collect()}
         if not tables:
             break
@@ -123,4 +129,24 @@ def orphan_cascade(direct: DataFrame, links: Sequence[Link], max_rounds: int = 5
     else:
         if tables:
             raise RuntimeError(f"orphans are left after {max_rounds} rounds")
-    return known.select("tbl", "id", F.when(F.col("depth") == 0, F.lit("direct")).otherwise(F.lit("inherited")).alias("kind"), "depth")
+    kind = F.when(F.col("depth") == 0, F.lit("direct")).otherwise(F.lit("inherited"))
+    return known.select("tbl", "id", kind.alias("kind"), "depth", *(["at"] if timed else []))
+
+
+@dataclass(frozen=True)
+class Orphans:
+    """What :func:`find_orphans` finds: direct orphan references, and on demand all orphaned records."""
+
+    references: DataFrame
+    owners: Mapping[str, str]
+    links: Sequence[Link]
+
+    def records(self) -> DataFrame:
+        """``tbl, id, kind, depth, at`` of records that hold an orphan reference, and of all that depend on them."""
+        owner = F.create_map(*[F.lit(x) for pair in sorted(self.owners.items()) for x in pair])
+        return orphan_cascade(self.references.select(owner[F.col("ref_field")].alias("tbl"), F.col("src_id").alias("id"), "at"), self.links)
+
+
+def find_orphans(references: Sequence[Reference], targets: Mapping[str, Target], links: Sequence[Link] = ()) -> Orphans:
+    """The fixpoint cascade: references without a live target are its first step, its further ones follow the links down."""
+    return Orphans(orphan_references(references, targets), {r.field: r.owner for r in references}, links)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators.diff import Diff, Exact, Vector, diff_copies
-from sightline.operators.references import Link, Reference, Target, orphan_cascade, orphan_references
+from sightline.operators.references import Link, Orphans, Reference, Target, find_orphans
 from sightline.operators.versions import current_rows
 from sightline.runtime import table
 
@@ -55,37 +55,37 @@ def references(spark: SparkSession, sf_dir: str) -> tuple[list[Reference], dict[
     return refs, targets
 
 
+def _orphans(spark: SparkSession, sf_dir: str) -> Orphans:
+    """Keypoints depend on their image, descriptors on their keypoint, points and images on the keypoints they name."""
+    refs, targets = references(spark, sf_dir)
+    keypoints = table(spark, sf_dir, "keypoints").groupBy("kp_id", "image_id", "kp_idx").agg(F.min("added_at").alias("added_at"))
+    on_point = refs[2].rows.join(keypoints.drop("added_at"), ["image_id", "kp_idx"]).select("point_id", "kp_id", "added_at")
+    links = [
+        Link("keypoints", "images", keypoints, "kp_id", "image_id", "added_at"),
+        Link("descriptors", "keypoints", table(spark, sf_dir, "descriptors").select("kp_id", F.col("kp_id").alias("of_kp")), "kp_id", "of_kp"),
+        Link("points3d", "keypoints", on_point, "point_id", "kp_id", "added_at"),
+        Link("images", "keypoints", refs[1].rows, "image_id", "kp_id", "added_at"),
+    ]
+    return find_orphans(refs, targets, links)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_references(*references(spark, sf_dir)).select("ref_field", "src_id", "pos", "reason").distinct()
+    return _orphans(spark, sf_dir).references.select("ref_field", "src_id", "pos", "reason").distinct()
 
 
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references of each referring field and month of the referring row (null: it has no time)."""
-    found = orphan_references(*references(spark, sf_dir))
     month = F.date_format("at", "yyyy-MM")
-    return found.groupBy("ref_field", month.alias("month"), "reason").agg(F.count(F.lit(1)).alias("n_refs"))
+    return _orphans(spark, sf_dir).references.groupBy("ref_field", month.alias("month"), "reason").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
 def p3_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records orphaned directly (they hold an orphan reference) or through a parent, by table and id.
-
-    Keypoints depend on their image, descriptors on their keypoint, points on the keypoints of their track.
-    """
-    refs, targets = references(spark, sf_dir)
-    owner = F.when(F.col("ref_field").startswith("images"), "images").otherwise("points3d")
-    direct = orphan_references(refs, targets).select(owner.alias("tbl"), F.col("src_id").alias("id"))
-    keypoints = table(spark, sf_dir, "keypoints").select("kp_id", "image_id", "kp_idx").distinct()
-    on_point = refs[2].rows.select("point_id", "image_id", "kp_idx").join(keypoints, ["image_id", "kp_idx"]).select("point_id", "kp_id")
-    links = [
-        Link("keypoints", "images", keypoints, "kp_id", "image_id"),
-        Link("descriptors", "keypoints", table(spark, sf_dir, "descriptors").select("kp_id", F.col("kp_id").alias("of_kp")), "kp_id", "of_kp"),
-        Link("points3d", "keypoints", on_point, "point_id", "kp_id"),
-    ]
-    return orphan_cascade(direct, links)
+    """Records orphaned directly (they hold an orphan reference) or through a parent, with the month of their first row."""
+    return _orphans(spark, sf_dir).records().select("tbl", "id", "kind", "depth", F.date_format("at", "yyyy-MM").alias("month"))
 
 
 def p3_cascade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_cascade(spark, sf_dir).groupBy("tbl", "kind", "depth").agg(F.count(F.lit(1)).alias("n_records"))
+    return p3_cascade(spark, sf_dir).groupBy("tbl", "month", "kind", "depth").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p3_cascade, p3_cascade_counts, p5_found, p5_ranges, p5_summary)}
@@ -135,7 +135,38 @@ orphans AS (
   SELECT DISTINCT ref_field, src_id, pos::INT AS pos, CASE WHEN n = 0 THEN 'missing' WHEN n_late = n THEN 'late' ELSE 'deleted' END AS reason, t FROM judged WHERE n_live = 0
 )"""
 
+CASCADE_LEVELS = 8  # more than the registered links can give
+
+
+def _cascade_sql() -> str:
+    """Levels of the cascade one after another, each without the records of those above."""
+    parts = [_REFS_SQL, """
+kps AS (SELECT kp_id, image_id, kp_idx::BIGINT AS kp_idx, min(added_at) AS at_ FROM keypoints GROUP BY ALL),
+links AS (
+  SELECT 'keypoints' AS tbl, kp_id AS id, at_, 'images' AS ptbl, image_id AS p FROM kps WHERE kp_id IS NOT NULL
+  UNION ALL SELECT 'descriptors', kp_id, NULL, 'keypoints', kp_id FROM descriptors WHERE kp_id IS NOT NULL
+  UNION ALL SELECT 'points3d', src_id, t, 'keypoints', kp_id FROM refs JOIN kps ON a = image_id AND b = kp_idx WHERE kind = 'p'
+  UNION ALL SELECT 'images', src_id, t, 'keypoints', a FROM refs WHERE kind = 'k'
+),
+l0 AS (SELECT CASE WHEN ref_field LIKE 'images%' THEN 'images' ELSE 'points3d' END AS tbl, src_id AS id, 0 AS depth, min(t) AS at_ FROM orphans GROUP BY 1, 2), k0 AS (SELECT * FROM l0)"""]
+    for n in range(1, CASCADE_LEVELS):
+        parts.append(f"""l{n} AS (SELECT c.tbl, c.id, {n} AS depth, min(c.at_) AS at_ FROM links c JOIN l{n - 1} l ON l.tbl = c.ptbl AND l.id = c.p WHERE (c.tbl, c.id) NOT IN (SELECT tbl, id FROM k{n - 1}) GROUP BY 1, 2),
+k{n} AS (SELECT * FROM k{n - 1} UNION ALL SELECT * FROM l{n})""")
+    month = "strftime(at_ AT TIME ZONE 'UTC', '%Y-%m') AS month"
+    return f"WITH {', '.join(p.strip() for p in parts)} SELECT tbl, id, CASE WHEN depth = 0 THEN 'direct' ELSE 'inherited' END AS kind, depth::INT AS depth, {month} FROM k{CASCADE_LEVELS - 1}"
+
+
+_SIDE = "SELECT floor(image_id / 64)::BIGINT AS leaf, {s} AS side, image_id FROM {t}"
+P5_RANGES_SQL = f"""
+WITH l AS {_CURRENT.format(t="images")}, r AS {_CURRENT.format(t="model_images")}, unequal AS (SELECT DISTINCT floor(image_id / 64)::BIGINT AS leaf FROM ({P5_SQL})),
+n AS (SELECT leaf, count(*) FILTER (side = 'l') AS left_rows, count(*) FILTER (side = 'r') AS right_rows FROM ({_SIDE.format(s="'l'", t="l")} UNION ALL {_SIDE.format(s="'r'", t="r")}) GROUP BY leaf)
+SELECT leaf * 64 AS first_key, leaf * 64 + 63 AS last_key, left_rows, right_rows FROM n JOIN unequal USING (leaf)
+"""
+
 SQL = {
+    "p3_cascade": _cascade_sql(),
+    "p3_cascade_counts": f"SELECT tbl, month, kind, depth, count(*)::BIGINT AS n_records FROM ({_cascade_sql()}) GROUP BY ALL",
+    "p5_ranges": P5_RANGES_SQL,
     "p3_found": f"WITH {_REFS_SQL} SELECT DISTINCT ref_field, src_id, pos, reason FROM orphans",
     "p3_counts": f"WITH {_REFS_SQL} SELECT ref_field, strftime(t AT TIME ZONE 'UTC', '%Y-%m') AS month, reason, count(*)::BIGINT AS n_refs FROM orphans GROUP BY ALL",
     "p5_found": P5_SQL,
