@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
 from sightline.operators.graph import maximum_spanning_forest, propagate_rotations
-from sightline.operators.robust import x84
+from sightline.operators.robust import on_group, x84
 from sightline.runtime import Staging
 
 # Fixed values of the averaging: rounds, and where they stop.
@@ -25,24 +25,29 @@ CG_TOLERANCE = {"l1": 1e-2, "irls": 1e-3}
 MOST_VIEWS = 20_000_000  # views of one connected graph, whose rotations the driver holds
 
 
-def similarity_alignment(pairs: DataFrame, keys: Sequence[str], a: Sequence[str], b: Sequence[str]) -> DataFrame:
-    """``keys, n, scale, r, t`` with b ~ scale R a + t, least squares in closed form.
+def alignment_sums(pairs: DataFrame, keys: Sequence[str], a: Sequence[str], b: Sequence[str]) -> DataFrame:
+    """``keys, n, cov, spread`` and the means of either side (``ma0..mb2``) of each group of point pairs.
 
-    Means, spreads and the 3x3 covariance are sums, so each group becomes one row before numpy decomposes
-    it. Groups of fewer than three points, or without spread, have nulls. Rows with a null or NaN do not count.
+    Rows with a null or NaN do not count. Means, spreads and the 3x3 covariance are sums, so each group becomes one row.
     """
     keys = list(keys)
     whole = pairs.filter(F.forall(F.array(*[F.col(c).cast("double") for c in (*a, *b)]), lambda x: x.isNotNull() & ~F.isnan(x)))
-    if not keys:
-        whole = whole.withColumn("_g", F.lit(0))
-    named = keys or ["_g"]
-    means = whole.groupBy(*named).agg(*[F.avg(c).alias(f"m{s}{i}") for s, cols in (("a", a), ("b", b)) for i, c in enumerate(cols)])
-    rows = whole.join(means, named)
+    averages = [F.avg(c).alias(f"m{s}{i}") for s, cols in (("a", a), ("b", b)) for i, c in enumerate(cols)]
+    rows = on_group(whole, whole.groupBy(*keys).agg(*averages) if keys else whole.agg(*averages), keys)
     da = [F.col(c) - F.col(f"ma{i}") for i, c in enumerate(a)]
     db = [F.col(c) - F.col(f"mb{i}") for i, c in enumerate(b)]
     cov = F.array(*[F.sum(x * y) for y in db for x in da]).alias("cov")
     spread = F.sum(da[0] * da[0] + da[1] * da[1] + da[2] * da[2]).alias("spread")
-    sums = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("n"), cov, spread, *[F.first(f"m{s}{i}").alias(f"m{s}{i}") for s in "ab" for i in range(3)])
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), cov, spread, *[F.first(f"m{s}{i}").alias(f"m{s}{i}") for s in "ab" for i in range(3)])
+
+
+def similarity_alignment(pairs: DataFrame, keys: Sequence[str], a: Sequence[str], b: Sequence[str]) -> DataFrame:
+    """``keys, n, scale, r, t`` with b ~ scale R a + t, least squares in closed form.
+
+    Numpy decomposes one covariance for each group (see :func:`alignment_sums`). Groups of fewer than three
+    points, or without spread, have nulls.
+    """
+    sums = alignment_sums(pairs, keys, a, b).filter("n > 0")
 
     @F.pandas_udf("scale double, r array<double>, t array<double>")
     def solve(n: pd.Series, cov: pd.Series, spread: pd.Series, ma: pd.Series, mb: pd.Series) -> pd.DataFrame:
@@ -62,6 +67,40 @@ def similarity_alignment(pairs: DataFrame, keys: Sequence[str], a: Sequence[str]
     return sums.withColumn("fit", solve("n", "cov", "spread", *centre)).select(*keys, "n", "fit.scale", "fit.r", "fit.t")
 
 
+def iterative_alignment(pairs: DataFrame, keys: Sequence[str], a: Sequence[str], b: Sequence[str]) -> DataFrame:
+    """The same by Gauss-Newton on the seven parameters, from the closed form's sums: ``keys, n, scale, r, t``.
+
+    The squared error of a similarity depends on the points through the same sums only (spreads, covariance,
+    means), so a group is iterated on in one row, however many points it has.
+    """
+    sums = alignment_sums(pairs, keys, a, b).filter("n > 0")
+
+    @F.pandas_udf("scale double, r array<double>, t array<double>")
+    def solve(n: pd.Series, cov: pd.Series, spread: pd.Series, ma: pd.Series, mb: pd.Series) -> pd.DataFrame:
+        out = []
+        for count, h, s, p, q in zip(n, cov, spread, ma, mb, strict=True):
+            if count < 3 or s <= 1e-12:
+                out.append((None, None, None))
+                continue
+            h, r = np.array(h).reshape(3, 3), np.eye(3)
+            for _ in range(200):  # the axis of M = R^T H that is not symmetric turns R until the trace is greatest
+                m = h @ r.T
+                axis = np.array([m[2, 1] - m[1, 2], m[0, 2] - m[2, 0], m[1, 0] - m[0, 1]])
+                sym = (m + m.T) / 2
+                hessian = np.trace(sym) * np.eye(3) - sym
+                values = np.linalg.eigvalsh(hessian)
+                step = np.linalg.solve(hessian + max(0.0, 1e-9 * abs(values[-1]) - values[0]) * np.eye(3), axis / 2)
+                r = _exp(step[None])[0] @ r
+                if np.abs(step).max() < 1e-13:
+                    break
+            scale = float(np.trace(h @ r.T) / s)
+            out.append((scale, r.ravel().tolist(), (np.array(q) - scale * r @ np.array(p)).tolist()))
+        return pd.DataFrame(out, columns=["scale", "r", "t"])
+
+    centre = [F.array(*[F.col(f"m{s}{i}") for i in range(3)]) for s in "ab"]
+    return sums.withColumn("fit", solve("n", "cov", "spread", *centre)).select(*keys, "n", "fit.scale", "fit.r", "fit.t")
+
+
 def iterative_similarity(a: np.ndarray, b: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
     """The same by Gauss-Newton on seven parameters, from the identity."""
     s, r, t = 1.0, np.eye(3), b.mean(0) - a.mean(0)

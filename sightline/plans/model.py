@@ -322,11 +322,11 @@ def _poses_sql(t: str) -> str:
 _P = _poses_sql("images")
 
 
-def _rel_sql(t: str) -> str:
+def _rel_sql(t: str, pairs: str = "(SELECT DISTINCT view_i, view_j FROM matches)") -> str:
     r = ", ".join(f"b.r{3 * i} * a.r{3 * j} + b.r{3 * i + 1} * a.r{3 * j + 1} + b.r{3 * i + 2} * a.r{3 * j + 2} AS r{3 * i + j}" for i in range(3) for j in range(3))
     t_ = ", ".join(f"u{i} - (r{3 * i} * s0 + r{3 * i + 1} * s1 + r{3 * i + 2} * s2) AS t{i}" for i in range(3))
     rows = f"""(SELECT view_i, view_j, {r}, a.t0 AS s0, a.t1 AS s1, a.t2 AS s2, b.t0 AS u0, b.t1 AS u1, b.t2 AS u2
-      FROM (SELECT DISTINCT view_i, view_j FROM matches) JOIN {_poses_sql(t)} a ON a.view_id = view_i JOIN {_poses_sql(t)} b ON b.view_id = view_j)"""
+      FROM {pairs} JOIN {_poses_sql(t)} a ON a.view_id = view_i JOIN {_poses_sql(t)} b ON b.view_id = view_j)"""
     return f"(SELECT view_i, view_j, {', '.join(f'r{k}' for k in range(9))}, {t_} FROM {rows})"
 
 
