@@ -141,8 +141,16 @@ DATABASE_TABLES = {
         "image_id bigint, name string, camera_id int, qw double, qx double, qy double, qz double, tx double, ty double, tz double",
         "SELECT image_id, name, camera_id, qw, qx, qy, qz, tx, ty, tz FROM (SELECT image_id, name, camera_id, {columns} FROM images)",
     ),
+    "camera_poses": (
+        "image_id bigint, name string, camera_id int, model int, width int, height int, qw double, qx double, qy double, qz double, tx double, ty double, tz double, "
+        "prior_qw double, prior_qx double, prior_qy double, prior_qz double, prior_tx double, prior_ty double, prior_tz double, params array<double>",
+        "SELECT i.image_id, i.name, i.camera_id, c.model, c.width, c.height, {columns}, c.params FROM images i LEFT JOIN cameras c ON c.camera_id = i.camera_id",
+    ),
+    "points3D": ("point3D_id bigint, x double, y double, z double, r int, g int, b int, error double", "SELECT point3D_id, x, y, z, r, g, b, error FROM points3D"),
 }
-BLOBS = {"cameras": "<f8", "keypoints": "<f4", "descriptors": "u1", "matches": "<u4"}
+KEYS = {"matches": "pair_id", "cameras": "camera_id", "points3D": "point3D_id"}  # of the others image_id
+POSE_COLUMNS = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
+BLOBS = {"cameras": "<f8", "camera_poses": "<f8", "keypoints": "<f4", "descriptors": "u1", "matches": "<u4"}
 
 
 class _Part(InputPartition):
@@ -155,8 +163,8 @@ class _Reader(DataSourceReader):
         self.path, self.table, self.parts = path, table, parts
 
     def partitions(self) -> list[_Part]:
-        key = "pair_id" if self.table == "matches" else "camera_id" if self.table == "cameras" else "image_id"
-        source = "images" if self.table == "poses" else self.table
+        key = KEYS.get(self.table, "image_id")
+        source = "images" if self.table.endswith("poses") else self.table
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
             low, high = con.execute(f"SELECT min({key}), max({key}) FROM {source}").fetchone()
         if low is None:
@@ -165,13 +173,15 @@ class _Reader(DataSourceReader):
         return [_Part(s, min(s + step - 1, high)) for s in range(low, high + 1, step)]
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        key = "pair_id" if self.table == "matches" else "camera_id" if self.table == "cameras" else "image_id"
+        key = KEYS.get(self.table, "image_id")
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
             sql = DATABASE_TABLES[self.table][1]
+            names = POSE_COLUMNS
+            there = {r[1] for r in con.execute("PRAGMA table_info(images)")} if self.table.endswith("poses") else set()
+            sides = [[f"{p}{n}" if f"{p}{n}" in there else "NULL" for n in names] for p in ("", "prior_")]
+            if self.table == "camera_poses":
+                sql = sql.format(columns=", ".join(f"{c} AS {p}{n}" for p, side in zip(("", "prior_"), sides, strict=True) for c, n in zip(side, names, strict=True)))
             if self.table == "poses":
-                there = {r[1] for r in con.execute("PRAGMA table_info(images)")}
-                names = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
-                sides = [[f"{p}{n}" if f"{p}{n}" in there else "NULL" for n in names] for p in ("", "prior_")]
                 chosen = [f"CASE WHEN {sides[0][0]} IS NOT NULL THEN {a} ELSE {b} END" for a, b in zip(*sides, strict=True)]
                 sql = sql.format(columns=", ".join(f"{c} AS {n}" if n[0] == "q" else f"coalesce({c}, 0) AS {n}" for c, n in zip(chosen, names, strict=True))) + " WHERE qw IS NOT NULL"
             sql = f"SELECT * FROM ({sql}) WHERE {key} BETWEEN ? AND ?"
@@ -184,8 +194,9 @@ class _Reader(DataSourceReader):
 class FeatureDatabase(DataSource):
     """``spark.read.format("feature_database").option("path", file).option("table", name)``.
 
-    Tables: cameras, images, keypoints, descriptors, matches, poses (optimised pose where there is one, else
-    the prior; null translations are zero; images without either are left out). Ranges of the key are read
+    Tables: cameras, images, keypoints, descriptors, matches, points3D, poses (optimised pose where there is one,
+    else the prior; null translations are zero; images without either are left out) and camera_poses (every
+    image with its camera and both poses side by side). Ranges of the key are read
     in parallel (option ``parts``). The file must be readable where the tasks run.
     """
 
@@ -216,4 +227,45 @@ def read_database(spark: SparkSession, path: str, table: str) -> DataFrame:
     return rows.select("image_id", F.col("n").alias("kp_idx"), F.get("data", at).alias("x"), F.get("data", at + 1).alias("y"))
 
 
+def write_database(path: str, cameras: DataFrame, images: DataFrame, keypoints: DataFrame, matches: DataFrame, most: int = 50_000_000) -> None:
+    """A feature database with tables cameras, images (with poses), keypoints and matches in one SQLite file.
+
+    One file has one writer, so blobs are packed where the rows are, one for each image or pair, and streamed
+    through the driver; tables of more than ``most`` blobs or rows are refused. Keypoints are numbered by their
+    index, and matches refer to it; matches of unordered pairs are stored with the smaller view first.
+    """
+    import os
+
+    def packed(rows: DataFrame, keys: list[str], order: str, values: list[str], kind: str) -> DataFrame:
+        grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("l"))
+
+        @F.pandas_udf("binary")
+        def blob(lists: pd.Series) -> pd.Series:
+            return lists.map(lambda rs: np.array([[r[v] for v in values] for r in rs], kind).tobytes())
+
+        return grouped.select(*keys, F.size("l").alias("n"), blob("l").alias("data"))
+
+    def rows(df: DataFrame, key: str):
+        n = df.count()
+        if n > most:
+            raise ValueError(f"{n} rows do not fit a database file")
+        return df.orderBy(key).toLocalIterator(prefetchPartitions=True)
+
+    if os.path.exists(path):
+        os.remove(path)
+    first, second = F.least("view_i", "view_j"), F.greatest("view_i", "view_j")
+    turned = F.col("view_i") > F.col("view_j")
+    pairs = matches.filter("view_i <> view_j").select(
+        (first * PAIR_BASE + second).alias("pair_id"), "match_idx", F.when(turned, F.col("feat_j")).otherwise(F.col("feat_i")).alias("a"), F.when(turned, F.col("feat_i")).otherwise(F.col("feat_j")).alias("b")
+    )
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE cameras (camera_id INTEGER PRIMARY KEY, model INTEGER, width INTEGER, height INTEGER, params BLOB)")
+        con.executemany("INSERT INTO cameras VALUES (?, ?, ?, ?, ?)", ((r["camera_id"], r["model"], r["width"], r["height"], np.array(r["params"] or [], "<f8").tobytes()) for r in rows(cameras, "camera_id")))
+        con.execute(f"CREATE TABLE images (image_id INTEGER PRIMARY KEY, name TEXT, camera_id INTEGER, {', '.join(f'{c} REAL' for c in POSE_COLUMNS)})")
+        con.executemany("INSERT INTO images VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?, ?)", ((r["image_id"], r["name"], r["camera_id"], *(r["q"] or [None] * 4), *(r["t"] or [None] * 3)) for r in rows(images, "image_id")))
+        for name, key, df, columns in (("keypoints", "image_id", packed(keypoints, ["image_id"], "kp_idx", ["x", "y"], "<f4"), 2), ("matches", "pair_id", packed(pairs, ["pair_id"], "match_idx", ["a", "b"], "<u4"), 2)):
+            con.execute(f"CREATE TABLE {name} ({key} INTEGER PRIMARY KEY, rows INTEGER, cols INTEGER, data BLOB)")
+            con.executemany(f"INSERT INTO {name} VALUES (?, ?, {columns}, ?)", ((r[key], r["n"], bytes(r["data"])) for r in rows(df, key)))
+
+
 assert PAIR_BASE == 2**31 - 1

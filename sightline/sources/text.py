@@ -83,6 +83,27 @@ def read_match_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
     return _files(spark, path).select("text").mapInPandas(parse, MATCHES)
 
 
+def write_match_text(matches: DataFrame, path: str) -> None:
+    """Blocks ``I J n`` and n pairs of features in the order of match_idx, what :func:`read_match_text` reads. A block is
+    one value, so it stays whole; it is bounded by its images' features."""
+    pairs = F.array_sort(F.collect_list(F.struct("match_idx", "feat_i", "feat_j")))
+    rows = matches.groupBy("view_i", "view_j").agg(pairs.alias("m"))
+    lines = F.transform("m", lambda p: F.concat_ws(" ", p["feat_i"].cast("string"), p["feat_j"].cast("string")))
+    head = F.concat_ws(" ", F.col("view_i").cast("string"), F.col("view_j").cast("string"), F.size("m").cast("string"))
+    rows.select(F.concat_ws("\n", head, F.array_join(lines, "\n")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_scene_json(views: DataFrame, poses: DataFrame, path: str, scene: str) -> None:
+    """One scene file for each value of ``scene``: ``views`` (scene, view_id, name, width, height) and ``poses`` (scene,
+    view_id, r, t, the centre). A scene file is one JSON value, bounded by its views."""
+    data = F.struct(F.lit("").alias("local_path"), F.col("name").alias("filename"), F.col("width"), F.col("height"), F.col("view_id").alias("id_view"))
+    listed = views.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct(F.col("view_id").alias("key"), F.struct(F.struct(data.alias("data")).alias("ptr_wrapper")).alias("value")))).alias("views"))
+    rotation = F.array(*[F.slice("r", 3 * i + 1, 3) for i in range(3)])
+    placed = poses.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct(F.col("view_id").alias("key"), F.struct(rotation.alias("rotation"), F.col("t").alias("center")).alias("value")))).alias("extrinsics"))
+    value = F.to_json(F.struct(F.col(scene).alias("root_path"), "views", F.coalesce("extrinsics", F.array()).alias("extrinsics")))
+    listed.join(placed, scene, "left").select(F.col(scene).alias("of"), value.alias("value")).repartition("of").write.mode("overwrite").partitionBy("of").text(path)
+
+
 def read_match_folder(spark: SparkSession, folder: str, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matches of files ``matches_<a>_<b>.txt`` (a header, then ``x1 y1 x2 y2``), and the files of unknown names.
 
