@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
 from sightline.runtime import Staging
 
+FINISH_LINKS = 1_000_000  # so many links, 16 bytes each, go into one task
+
 
 def view_graph(pairs: DataFrame, rotation: str | None = None) -> DataFrame:
     """Both directions of each edge: ``src, dst, weight`` and, if given, the rotation and its transpose."""
@@ -17,10 +23,33 @@ def view_graph(pairs: DataFrame, rotation: str | None = None) -> DataFrame:
     return there.unionByName(pairs.select(F.col("view_j").alias("src"), F.col("view_i").alias("dst"), "weight", *back))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def _finish(links: DataFrame) -> DataFrame:
+    """``u, v``: each vertex ``v`` of the links with the smallest one of its component, found in one task."""
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        u, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+        ids, at = np.unique(np.r_[u, v], return_inverse=True)
+        x, y, root = at[: len(u)], at[len(u) :], np.arange(len(ids))
+        while len(x):
+            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+            apart = low < high
+            x, y = x[apart], y[apart]
+            np.minimum.at(root, high[apart], low[apart])
+            while (root != root[root]).any():
+                root = root[root]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[root]), pa.array(ids)], names=["u", "v"])
+
+    return links.coalesce(1).mapInArrow(label, "u long, v long").filter("u <> v")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100, finish_links: int = FINISH_LINKS) -> DataFrame:
     """``id, component``: alternating stars. Each round links every vertex's larger neighbours to its smallest, then
     its smaller ones, and stops when no link changes; the component's id is its smallest vertex. Vertices with
-    loops only are components of their own; nulls link nothing."""
+    loops only are components of their own; nulls link nothing. Links that are ``finish_links`` or fewer, at first
+    or after a round, are finished by one task, which gives the same components."""
     staging = Staging(edges.sparkSession, "stars")
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     start = edges.filter(x.isNotNull() & y.isNotNull()).select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
@@ -28,6 +57,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     links = staging.write(start.filter("u <> v").distinct())
     before = None
     for _ in range(max_rounds):
+        if links.limit(finish_links + 1).count() <= finish_links:
+            links = staging.write(_finish(links))
+            break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v")
@@ -104,7 +136,7 @@ def maximum_spanning_forest(pairs: DataFrame, max_rounds: int = 64, driver_edges
         picked = staging.write(best.select("e.i", "e.j", "e.weight").distinct())
         chosen = picked if chosen is None else chosen.unionByName(picked)
         links = edges.join(picked.select("i", "j"), ["i", "j"], "left_semi").select("a", "b")
-        part = components(links).select(F.col("id"), F.col("component"))
+        part = components(links, finish_links=FINISH_LINKS if driver_edges else 0).select(F.col("id"), F.col("component"))
         moved = edges.join(part.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(part.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
         rest = moved.select("i", "j", "weight", F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
         edges = staging.write(rest)

@@ -1,7 +1,7 @@
 """Descriptor matching between the features of view pairs: exact, by blocks, and by cascaded hashes.
 
-Features come as ``view_id, feature_id, vec`` with vectors of one length. Pairs are views i < j; the query
-side is i. Rows with a null id or vector are ignored.
+Features come as ``view_id, feature_id, vec`` with vectors of one length. Pairs are views i < j, those of a
+candidate list ``view_i, view_j`` or all; the query side is i. Rows with a null id or vector are ignored.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.functions.arrays import root_normalise
+from sightline.runtime import Staging
 
 BLOCK = 1024
 RATIO = 0.8  # fixed value: a match is kept if its distance is below this share of the second best
@@ -22,54 +24,77 @@ GROUPS, GROUP_BITS, SEED, HASH_CANDIDATES, LEAST_CANDIDATES = 6, 10, 5489, 10, 2
 MATCHERS = ("BF", "BF_NORM_L1", "BF_HAMMING", "FLANN", "FASTCASCADEHASHINGL2")
 
 
+def view_pairs(features: DataFrame) -> DataFrame:
+    """All pairs i < j of the features' views; only their ids are joined. Give matchers a shorter list where there is one."""
+    views = features.filter("view_id IS NOT NULL").select("view_id").distinct()
+    a, b = (views.select(F.col("view_id").cast("long").alias(f"view_{n}")) for n in "ij")
+    return a.join(b, F.col("view_i") < F.col("view_j"))
+
+
 def blocks(features: DataFrame) -> DataFrame:
-    """``view_id, ids, vecs``: the features of each view in blocks of at most ``BLOCK`` rows.
+    """``view_id, block, ids, vecs``: the features of each view in blocks of about ``BLOCK`` rows, packed.
 
     Rows are dealt to blocks by hash, as many as the view's size asks for, so a large view becomes many
-    blocks and no task holds a whole view.
+    blocks and no task holds a whole view. Vectors of floats travel as floats.
     """
-    rows = features.filter("view_id IS NOT NULL AND feature_id IS NOT NULL AND vec IS NOT NULL")
+    kind = "<f4" if isinstance(features.schema["vec"].dataType.elementType, T.FloatType) else "<f8"
+    rows = features.filter("view_id IS NOT NULL AND feature_id IS NOT NULL AND vec IS NOT NULL").select(F.col("view_id").cast("long"), F.col("feature_id").cast("long"), F.col("vec"))
     sizes = rows.groupBy("view_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK / 2)).alias("n_blocks"))
-    dealt = rows.join(sizes, "view_id").withColumn("block", F.pmod(F.xxhash64("feature_id"), F.col("n_blocks")))
-    grouped = dealt.groupBy("view_id", "block").agg(F.collect_list(F.struct("feature_id", "vec")).alias("f"))
-    return grouped.select("view_id", F.col("f.feature_id").alias("ids"), F.transform("f", lambda x: F.transform(x["vec"], lambda v: v.cast("double"))).alias("vecs"))
+    dealt = rows.join(sizes, "view_id").withColumn("block", F.pmod(F.xxhash64("feature_id"), F.col("n_blocks"))).drop("n_blocks")
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids = table["feature_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        vecs = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+        columns = {"view_id": table["view_id"][:1], "block": table["block"][:1], "ids": pa.array([ids[order].astype("<i8").tobytes()]), "vecs": pa.array([vecs.astype(kind).tobytes()])}
+        return pa.table({**columns, "double": pa.array([kind == "<f8"])})
+
+    return dealt.groupBy("view_id", "block").applyInArrow(pack, "view_id long, block long, ids binary, vecs binary, double boolean")
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
     if metric == "l1":
-        return np.array([np.abs(b - x).sum(1) for x in a]).reshape(len(a), len(b))
+        return np.concatenate([np.abs(a[s : s + 16, None] - b[None]).sum(2) for s in range(0, len(a), 16)])
     if metric == "hamming":
         return (a > 0).astype(np.float64) @ (b <= 0).T + (a <= 0).astype(np.float64) @ (b > 0).T
     raise ValueError(f"unknown metric {metric}")
 
 
-def nearest(features: DataFrame, metric: str = "l2", k: int = 2, backward: bool = False) -> DataFrame:
+def nearest(features: DataFrame, metric: str = "l2", k: int = 2, backward: bool = False, pairs: DataFrame | None = None, dealt: DataFrame | None = None) -> DataFrame:
     """``view_i, view_j, query, target, distance, rank``: the ``k`` nearest features of the other view.
 
-    Queries are of view i, or of view j if ``backward``. Blocks of either view meet, each meeting keeps
-    its ``k`` best for each query, and the best of those are kept; equal distances go to the smaller id.
+    Queries are of view i, or of view j if ``backward``. The blocks (``dealt``, if they are there already) of
+    the two views of each pair meet, each meeting keeps its ``k`` best for each query, and the best of those are
+    kept; equal distances go to the smaller id. Joins are on view and block, so work and shuffle follow the list
+    of pairs.
     """
-    b = blocks(features)
-    left = b.select(F.col("view_id").alias("view_i"), F.col("ids").alias("ids_i"), F.col("vecs").alias("vecs_i"))
-    right = b.select(F.col("view_id").alias("view_j"), F.col("ids").alias("ids_j"), F.col("vecs").alias("vecs_j"))
-    meetings = left.join(right, F.col("view_i") < F.col("view_j"))
+    dealt = Staging(features.sparkSession, "blocks").write(blocks(features)) if dealt is None else dealt
+    wanted = (view_pairs(features) if pairs is None else pairs.select(F.least("view_i", "view_j").cast("long").alias("view_i"), F.greatest("view_i", "view_j").cast("long").alias("view_j"))).filter("view_i < view_j").distinct()
+    keys = dealt.select("view_id", "block")
+    for n in "ij":
+        wanted = wanted.join(keys.select(F.col("view_id").alias(f"view_{n}"), F.col("block").alias(f"block_{n}")), f"view_{n}")
+    for n in "ij":
+        held = dealt.select(F.col("view_id").alias(f"view_{n}"), F.col("block").alias(f"block_{n}"), F.col("ids").alias(f"ids_{n}"), F.col("vecs").alias(f"vecs_{n}"), *([F.col("double")] if n == "i" else []))
+        wanted = wanted.join(held, [f"view_{n}", f"block_{n}"])
     schema = pa.schema([(n, pa.int64()) for n in ("view_i", "view_j", "query", "target")] + [("distance", pa.float64())])
 
+    def side(row: dict, n: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(row[f"ids_{n}"], "<i8")
+        return ids, np.frombuffer(row[f"vecs_{n}"], "<f8" if row["double"] else "<f4").astype(np.float64).reshape(len(ids), -1)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sides = [(np.array(row[f"ids_{s}"], np.int64), np.array(row[f"vecs_{s}"], np.float64)) for s in "ij"]
-                (query_ids, queries), (target_ids, targets) = sides[::-1] if backward else sides
-                order = np.argsort(target_ids, kind="stable")
-                d = np.round(_distances(queries, targets[order], metric), 12)
+                (query_ids, queries), (target_ids, targets) = [side(row, n) for n in ("ji" if backward else "ij")]
+                d = np.round(_distances(queries, targets, metric), 12)
                 best = np.argsort(d, axis=1, kind="stable")[:, :k]
                 n = best.shape[1]
-                columns = [np.full(len(query_ids) * n, row["view_i"]), np.full(len(query_ids) * n, row["view_j"]), np.repeat(query_ids, n), target_ids[order][best].ravel(), np.take_along_axis(d, best, 1).ravel()]
+                columns = [np.full(len(query_ids) * n, row["view_i"]), np.full(len(query_ids) * n, row["view_j"]), np.repeat(query_ids, n), target_ids[best].ravel(), np.take_along_axis(d, best, 1).ravel()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    found = meetings.mapInArrow(compare, "view_i long, view_j long, query long, target long, distance double")
+    found = wanted.select("view_i", "view_j", "ids_i", "vecs_i", "ids_j", "vecs_j", "double").mapInArrow(compare, "view_i long, view_j long, query long, target long, distance double")
     order = Window.partitionBy("view_i", "view_j", "query").orderBy("distance", "target")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -104,13 +129,14 @@ def rooted(features: DataFrame) -> DataFrame:
     return features.withColumn("vec", root_normalise(F.col("vec")))
 
 
-def cascade_hash_matches(features: DataFrame, ratio: float | None = RATIO, groups: int = GROUPS, bits: int = GROUP_BITS) -> DataFrame:
-    """Approximate best matches: ``view_i, view_j, query, target, distance, second``.
+def cascade_hash_matches(features: DataFrame, ratio: float | None = RATIO, groups: int = GROUPS, bits: int = GROUP_BITS, pairs: DataFrame | None = None, backward: bool = False) -> DataFrame:
+    """Approximate best matches: ``view_i, view_j, query, target, distance, second``; of view j's features if ``backward``.
 
     Vectors less their mean get a sign code as long as themselves and, in each of ``groups`` tables, a
     bucket of ``bits`` signs. Features that share a bucket are candidates; a query with no more than two
     distinct ones is left out; the ten nearest by Hamming distance of the codes are ranked by L2 distance.
-    ``ratio`` None keeps the best of all, else the ratio test applies.
+    ``ratio`` None keeps the best of all, else the ratio test applies. The join is on pair, table and bucket, so
+    a bucket that is full in every view is met once for each pair only.
     """
     spark = features.sparkSession
     means = [r["mean"] for r in zero_mean(features).orderBy("pos").collect()]  # one number for each dimension
@@ -137,20 +163,22 @@ def cascade_hash_matches(features: DataFrame, ratio: float | None = RATIO, group
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = features.filter("view_id IS NOT NULL AND feature_id IS NOT NULL AND vec IS NOT NULL").select(F.col("view_id").cast("long"), F.col("feature_id").cast("long"), F.col("vec").cast("array<double>"))
-    marked = rows.mapInArrow(hashed, "view_id long, feature_id long, code array<long>, buckets array<int>")
+    marked = Staging(spark, "codes").write(rows.mapInArrow(hashed, "view_id long, feature_id long, code array<long>, buckets array<int>"))
     keyed = marked.select("view_id", "feature_id", "code", F.explode("buckets").alias("bucket"))
-    a = keyed.select(F.col("view_id").alias("view_i"), F.col("feature_id").alias("query"), F.col("code").alias("code_i"), "bucket")
-    b = keyed.select(F.col("view_id").alias("view_j"), F.col("feature_id").alias("target"), F.col("code").alias("code_j"), "bucket")
+    wanted = (view_pairs(features) if pairs is None else pairs.select(F.least("view_i", "view_j").alias("view_i"), F.greatest("view_i", "view_j").alias("view_j"))).filter("view_i < view_j").distinct()
+    q, t = ("view_j", "view_i") if backward else ("view_i", "view_j")
+    a = keyed.select(F.col("view_id").alias(q), F.col("feature_id").alias("query"), F.col("code").alias("code_i"), "bucket")
+    b = keyed.select(F.col("view_id").alias(t), F.col("feature_id").alias("target"), F.col("code").alias("code_j"), "bucket")
     apart = F.aggregate(F.zip_with("code_i", "code_j", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    met = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("view_i") < F.col("view_j"))).select("view_i", "view_j", "query", "target", apart.alias("hamming")).distinct()
+    met = a.join(wanted, q).join(b, [t, "bucket"]).select("view_i", "view_j", "query", "target", apart.alias("hamming")).distinct()
     each = Window.partitionBy("view_i", "view_j", "query")
-    ranked = met.withColumn("n", F.row_number().over(each.orderBy("hamming", "target"))).withColumn("most", F.max("n").over(each))
-    few = ranked.filter((F.col("most") > LEAST_CANDIDATES) & (F.col("n") <= HASH_CANDIDATES)).select("view_i", "view_j", "query", "target")
+    ranked = met.withColumn("n", F.row_number().over(each.orderBy("hamming", "target"))).filter(F.col("n") <= HASH_CANDIDATES)
+    few = ranked.withColumn("most", F.max("n").over(each)).filter(F.col("most") > LEAST_CANDIDATES).select("view_i", "view_j", "query", "target")
 
     def side(view: str, feature: str, vec: str) -> DataFrame:
         return rows.select(F.col("view_id").alias(view), F.col("feature_id").alias(feature), F.col("vec").alias(vec))
 
-    near = few.join(side("view_i", "query", "va"), ["view_i", "query"]).join(side("view_j", "target", "vb"), ["view_j", "target"])
+    near = few.join(side(q, "query", "va"), [q, "query"]).join(side(t, "target", "vb"), [t, "target"])
     d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     near = near.select("view_i", "view_j", "query", "target", d.alias("distance"))
     near = near.withColumn("rank", F.row_number().over(each.orderBy("distance", "target"))).filter("rank <= 2")
@@ -162,17 +190,19 @@ def pair_seed(i: Column, j: Column) -> Column:
     return F.lit(12345).cast("long").bitwiseXOR((F.lit(7919) * i + F.lit(7927) * j).cast("long"))
 
 
-def match_views(features: DataFrame, matcher: str = "BF", ratio: float | None = RATIO, cross_check: bool = False, most: int | None = None) -> DataFrame:
-    """Matches of all view pairs by a named matcher; ratio test, cross check and limit apply one after another."""
+def match_views(features: DataFrame, matcher: str = "BF", ratio: float | None = RATIO, cross_check: bool = False, most: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Matches of view pairs (all, or those of a list) by a named matcher; ratio test, cross check and limit apply one
+    after another. ``FLANN`` is the exact matcher, as its approximate trees are no part of this library."""
     name = matcher.upper()
     if name not in MATCHERS:
         raise ValueError(f"matchers are {MATCHERS}")
     metric = {"BF_NORM_L1": "l1", "BF_HAMMING": "hamming"}.get(name, "l2")
+    dealt = None if name == "FASTCASCADEHASHINGL2" else Staging(features.sparkSession, "blocks").write(blocks(features))
 
     def one_way(backward: bool) -> DataFrame:
-        if name == "FASTCASCADEHASHINGL2" and not backward:
-            return cascade_hash_matches(features, ratio)
-        found = nearest(features, metric, 2, backward)
+        if name == "FASTCASCADEHASHINGL2":
+            return cascade_hash_matches(features, ratio, pairs=pairs, backward=backward)
+        found = nearest(features, metric, 2, backward, pairs, dealt)
         return ratio_matches(found, ratio) if ratio is not None else found.filter("rank = 1")
 
     out = one_way(False)

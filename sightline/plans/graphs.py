@@ -52,6 +52,12 @@ def match_cascade_hash(spark, sf_dir):
     return _shown(matching.cascade_hash_matches(vectors(spark, sf_dir), ratio=None))
 
 
+def match_pair_list(spark, sf_dir):
+    """Matches of the pairs of a candidate list only: views one after another."""
+    pairs = matching.view_pairs(vectors(spark, sf_dir)).filter("view_j = view_i + 1")
+    return _shown(matching.match_views(vectors(spark, sf_dir), "BF", ratio=0.97, pairs=pairs))
+
+
 def root_normalise(spark, sf_dir):
     rows = matching.rooted(vectors(spark, sf_dir))
     return rows.select("feature_id", F.posexplode("vec").alias("pos", "v")).select("feature_id", "pos", F.round("v", 6).alias("v"))
@@ -142,7 +148,7 @@ def residual_summary(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        match_ratio_l2, match_ratio_l1, match_hamming, match_nearest, match_knn_list, match_mutual, match_topn_per_pair, match_cascade_hash, root_normalise, zero_mean_descriptor, pair_seeds,
+        match_ratio_l2, match_ratio_l1, match_hamming, match_nearest, match_knn_list, match_mutual, match_topn_per_pair, match_cascade_hash, match_pair_list, root_normalise, zero_mean_descriptor, pair_seeds,
         view_graph_edges, view_components, max_spanning_tree, track_components, rotation_propagation, rotation_average, similarity_alignment, alignment_residual, residual_summary,
     )
 }
@@ -188,6 +194,7 @@ _FOREST_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT view_i AS i, view_j AS
 
 SQL = {
     "match_ratio_l2": f"SELECT {_COLUMNS} FROM {_near_sql(_L2)} WHERE rank = 1 AND distance < 0.97 * second",
+    "match_pair_list": f"SELECT {_COLUMNS} FROM {_near_sql(_L2)} WHERE rank = 1 AND distance < 0.97 * second AND view_j = view_i + 1",
     "match_ratio_l1": f"SELECT {_COLUMNS} FROM {_near_sql(_L1)} WHERE rank = 1 AND distance < 0.97 * second",
     "match_hamming": f"SELECT {_COLUMNS} FROM {_near_sql(_HAMMING)} WHERE rank = 1 AND distance < 0.97 * second",
     "match_nearest": f"SELECT {_COLUMNS} FROM {_near_sql(_L2)} WHERE rank = 1",

@@ -65,8 +65,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent is a folder chosen here: a temporary one in local mode, else one
-    below the warehouse, which a cluster shares as well.
+    Only where the setting is absent, and only in local mode, is a temporary folder chosen here; on a cluster
+    without the setting this raises, as nothing says which folder its machines share.
     """
     global _LOCAL_DIR
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -77,16 +77,40 @@ def shared_dir(spark: SparkSession) -> str:
             _LOCAL_DIR = tempfile.mkdtemp(prefix="sightline-")
             atexit.register(shutil.rmtree, _LOCAL_DIR, ignore_errors=True)
         return f"file://{_LOCAL_DIR}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+_STAGED: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@atexit.register
+def clear_staged() -> None:
+    """Delete what this driver has staged; results that read it must have been used by then. It is also called at exit."""
+    for path, spark in list(_STAGED.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session is over, and what is left belongs to no one
+            pass
+        _STAGED.pop(path, None)
 
 
 class Staging:
-    """Tables written once and read many times, in a folder of their own below :func:`shared_dir`."""
+    """Tables written once and read many times, in a folder of their own below :func:`shared_dir`.
+
+    A result may read its staged tables when it is used, so they are kept while the driver lives;
+    :func:`clear_staged` deletes them, at the latest when it ends.
+    """
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{purpose}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
         self._count = 0
+        _STAGED[self.path] = spark
 
     def write(self, df: DataFrame) -> DataFrame:
         self._count += 1
@@ -100,5 +124,4 @@ class Staging:
         """Delete a staged table that nothing will read again."""
         path = getattr(df, "_staged_path", None)
         if path:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(self.spark, path)

@@ -224,7 +224,8 @@ def test_components_forest_and_propagation(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     want = sorted((v, find(v)) for v in {v for p in pairs for v in p} | {99})
-    assert sorted(map(tuple, graph.components(df, "view_i", "view_j").collect())) == want
+    for finish_links in (1_000_000, 20, 0):  # in one task, after some rounds, by rounds alone
+        assert sorted(map(tuple, graph.components(df, "view_i", "view_j", finish_links=finish_links).collect())) == want
     small, spread = graph.maximum_spanning_forest(df), graph.maximum_spanning_forest(df, driver_edges=0)
     assert rows(small) == rows(spread) and small.count() == len(want) - len({c for _, c in want})
     truth = random_rotations(100, 5)
@@ -258,8 +259,8 @@ def noisy_graph(n, linked, noise, outliers, seed):
 
 @pytest.mark.parametrize(("n", "linked", "noise", "outliers", "mean", "most"), [
     (12, lambda i, j, r: r.rand() < 0.7, 0.003, 0.08, 0.3, 0.8),
-    (24, lambda i, j, r: j - i <= 4, 0.01, 0.1, 1.5, 4.0),
-    (24, lambda i, j, r: j - i <= 2, 0.002, 0.0, 1.0, 2.0),
+    (16, lambda i, j, r: j - i <= 4, 0.01, 0.1, 1.5, 4.0),
+    (14, lambda i, j, r: j - i <= 2, 0.002, 0.0, 1.0, 2.0),
 ])
 def test_rotation_averaging_is_the_same_at_any_size(spark, n, linked, noise, outliers, mean, most):
     truth, rel = noisy_graph(n, linked, noise, outliers, 6)
@@ -322,6 +323,6 @@ def test_model_operators(spark):
     assert st.planar_grid(4, 3, 0.5, True, spark).agg(F.sum("x"), F.sum("y"), F.count("idx")).first() == (0.0, 0.0, 12)
     obs = spark.createDataFrame([(1, 0, v, 0, True) for v in (9, 4, 4, 30)] + [(2, 0, 77, 0, False)], "track_id long, obs_idx int, view_id long, feature_id long, is_used boolean")
     assert rows(st.valid_views(obs)) == [(30, 2), (4, 0), (9, 1)]
-    centres = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.001), (3, 4.0, 0.0, 0.0)], "i int, x double, y double, z double")
-    greatest, least, scale = st.scene_scale(centres, "x", "y", "z", "i").first()
+    centres = spark.createDataFrame([("s", 1, 0.0, 0.0, 0.0), ("s", 2, 0.0, 0.0, 0.001), ("s", 3, 4.0, 0.0, 0.0), ("one", 4, 9.0, 0.0, 0.0), (None, 5, 0.0, 0.0, 0.0)], "s string, i int, x double, y double, z double")
+    (_, greatest, least, scale), = st.scene_scale(centres, "s", "x", "y", "z", "i").collect()
     assert abs(greatest - 4.0) < 1e-6 and abs(least - 4.0) < 1e-6 and abs(scale - 0.25) < 1e-6
