@@ -125,9 +125,10 @@ def _centre_pairs(spark, sf_dir):
 
 
 def similarity_alignment(spark, sf_dir):
-    """The sums that the alignment of each scene is solved from: spread and cross-covariance."""
+    """The sums that the alignment of each scene is solved from: the spread's logarithm, the cross-covariance as shares of it."""
     sums = solvers.alignment_sums(_centre_pairs(spark, sf_dir), ["scene"], ["a0", "a1", "a2"], ["b0", "b1", "b2"])
-    return sums.select("scene", "n", (F.round("spread", 4) + F.lit(0.0)).alias("spread"), *[(F.round(F.col("cov")[k], 4) + F.lit(0.0)).alias(f"h{k}") for k in range(9)])
+    some = F.when(F.col("spread") > 1e-6, F.col("spread"))
+    return sums.select("scene", "n", (F.round(F.log10(some), 6) + F.lit(0.0)).alias("spread"), *[(F.round(F.col("cov")[k] / some, 6) + F.lit(0.0)).alias(f"h{k}") for k in range(9)])
 
 
 def alignment_residual(spark, sf_dir):
@@ -215,7 +216,8 @@ SQL = {
         JOIN {_poses_sql('model_images')} a ON a.view_id = e.view_i JOIN {_poses_sql('model_images')} b ON b.view_id = e.view_j)""",
     "similarity_alignment": f"""WITH p AS (SELECT split_part(a.name, '/', 1) AS scene, a.c0 AS a0, a.c1 AS a1, a.c2 AS a2, b.c0 AS b0, b.c1 AS b1, b.c2 AS b2 FROM {_poses_sql('model_images')} a JOIN {_P} b USING (view_id) WHERE a.name IS NOT NULL),
         m AS (SELECT *, a0 - avg(a0) OVER s AS x0, a1 - avg(a1) OVER s AS x1, a2 - avg(a2) OVER s AS x2, b0 - avg(b0) OVER s AS y0, b1 - avg(b1) OVER s AS y1, b2 - avg(b2) OVER s AS y2 FROM p WINDOW s AS (PARTITION BY scene))
-        SELECT scene, count(*) AS n, round(sum(x0 * x0 + x1 * x1 + x2 * x2), 4) + 0.0 AS spread, {", ".join(f"round(sum(y{i} * x{j}), 4) + 0.0 AS h{3 * i + j}" for i in range(3) for j in range(3))} FROM m GROUP BY scene""",
+        SELECT scene, n, round(log10(s), 6) + 0.0 AS spread, {", ".join(f"round(h{k} / s, 6) + 0.0 AS h{k}" for k in range(9))}
+        FROM (SELECT *, CASE WHEN spread > 1e-6 THEN spread END AS s FROM (SELECT scene, count(*) AS n, sum(x0 * x0 + x1 * x1 + x2 * x2) AS spread, {", ".join(f"sum(y{i} * x{j}) AS h{3 * i + j}" for i in range(3) for j in range(3))} FROM m GROUP BY scene))""",
     "alignment_residual": f"""SELECT split_part(a.name, '/', 1) AS scene, count(*) AS n, true AS alike FROM {_poses_sql('model_images')} a JOIN {_P} b USING (view_id) WHERE a.name IS NOT NULL GROUP BY 1 HAVING count(*) >= 3""",
     "rotation_propagation": f"""{_FOREST_SQL.format(pairs=_POSED).replace("SELECT i AS view_i, j AS view_j, weight FROM k", ", forest AS MATERIALIZED (SELECT i, j FROM k")}),
         t AS (SELECT i AS u, j AS v FROM forest UNION ALL SELECT j, i FROM forest), d(view_id, depth, above) AS (SELECT min(view_id), 0, NULL::BIGINT FROM {_P} UNION ALL SELECT t.v, depth + 1, view_id FROM d JOIN t ON t.u = d.view_id WHERE t.v IS DISTINCT FROM above)

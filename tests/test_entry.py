@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sightline.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -28,7 +29,7 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["eval_all_stats", "eval_best_second_best", "profile_intervals", "stats_package", "match_bearing_pairs", "inlier_sync", "grid_distributed_topk", "x84_outliers", "relpose_from_global", "match_mutual", "p3_found", "p3_counts", "p5_found"])
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET timezone='UTC'")
