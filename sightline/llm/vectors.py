@@ -24,7 +24,7 @@ MOST_PIVOTS = 2_048
 DIVIDED_ROWS, INNER_ROWS = 8_000, 4_000  # a cell with more vectors gets a pivot of its own for so many each
 MOST_INNER = 65_536
 PART_ROWS = 16_000  # a cell that still has more vectors is dealt into parts of so many
-VISITS, CROWDED_VISITS = 3, 4  # cells of a vector, its own included
+VISITS, FAR_VISITS = 3, 12  # cells of a vector, its own included; without a greatest distance; one more in a divided cell
 MARGIN = 0.25  # a vector visits a cell if the plane before it is no further than this share of the greatest distance
 SHARD_ROWS = 40_000  # vectors to a task of the shards
 ASIDE = -1  # the place of a copy that does not travel to a shard
@@ -121,21 +121,21 @@ class Pivots:
         """All pivots as one level, so that every vector stands in the cell of the nearest of all."""
         return Pivots(self.every, rows=self.rows)
 
-    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, x: np.ndarray, visits: int = VISITS) -> tuple[np.ndarray, np.ndarray]:
         """Cells of the nearest pivots of each row, nearest first, and squared distances less the row's own norm;
         infinite where a row has no further cell."""
         d = self.norms[None] - 2 * (x @ self.points.T)
-        take = min(VISITS, len(self.points))
+        take = min(visits, len(self.points))
         cells = np.argpartition(d, take - 1, axis=1)[:, :take]
         away = np.take_along_axis(d, cells, 1)
         if self.inner:
-            cells, away = self._divided(x, cells, away)
-        order = np.argsort(away, axis=1, kind="stable")[:, :CROWDED_VISITS]
+            cells, away = self._divided(x, cells, away, visits)
+        order = np.argsort(away, axis=1, kind="stable")
         return np.take_along_axis(cells, order, 1), np.take_along_axis(away, order, 1)
 
-    def _divided(self, x: np.ndarray, cells: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same with inner cells in place of divided ones; only a row in the midst of a crowd has more than ``VISITS``."""
-        width = CROWDED_VISITS
+    def _divided(self, x: np.ndarray, cells: np.ndarray, away: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same with inner cells in place of divided ones; only a row in the midst of a crowd has one more than ``visits``."""
+        width = visits + 1
         wide, far = np.repeat(cells, width, axis=1), np.full((len(x), cells.shape[1] * width), np.inf, np.float32)
         far[:, ::width] = away
         for cell, points in self.inner.items():
@@ -150,7 +150,7 @@ class Pivots:
             far[row[:, None], at] = np.take_along_axis(d, best, 1)
         order = np.argsort(far, axis=1, kind="stable")[:, :width]
         wide, far = np.take_along_axis(wide, order, 1), np.take_along_axis(far, order, 1)
-        far[wide[:, 0] < len(self.points), VISITS:] = np.inf
+        far[wide[:, 0] < len(self.points), visits:] = np.inf
         return wide, far
 
 
@@ -201,11 +201,11 @@ def fit_pivots(df: DataFrame, id_col: str, vector_col: str) -> Pivots:
     return found
 
 
-def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: Pivots, max_distance: float | None = None, visits: int = CROWDED_VISITS) -> DataFrame:
+def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: Pivots, max_distance: float | None = None, visits: int | None = None) -> DataFrame:
     """``shard, place, id, vec``: each vector in its own cell, at place 0, and as a visitor in those it is near to.
 
-    A vector visits the cells of its nearest pivots, ``VISITS`` with its own (``CROWDED_VISITS`` in a divided
-    cell); with a ``max_distance``, only those whose dividing plane is within ``MARGIN`` of it. Two vectors
+    A vector visits the cells of its nearest pivots, ``FAR_VISITS`` with its own (one more in a divided cell);
+    with a ``max_distance`` ``VISITS``, and only those whose dividing plane is within ``MARGIN`` of it. Two vectors
     with a plane between them meet if either visits, so a pair is lost only if it stands across more planes
     than that, or straight across one with both ends far from it. In a cell of several parts a vector stands in
     one and visits the others.
@@ -216,6 +216,7 @@ def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: Pivots, max_d
     """
     shared = df.sparkSession.sparkContext.broadcast(pivots)
     reach = np.inf if max_distance is None else MARGIN * max_distance
+    wanted = visits or (FAR_VISITS if max_distance is None else VISITS)
     schema = pa.schema([("shard", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("vec", pa.binary())])
 
     def rows_of(shard: np.ndarray, place: np.ndarray, ids: np.ndarray, vec: pa.Array) -> pa.RecordBatch:
@@ -233,8 +234,8 @@ def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: Pivots, max_d
             ids, x = distinct_rows(every, vectors)
             for s in range(0, len(ids), 4096):
                 i, v = ids[s : s + 4096], x[s : s + 4096]
-                cells, away = p.nearest(v.astype(np.float32))
-                for place in range(min(visits, cells.shape[1])):
+                cells, away = p.nearest(v.astype(np.float32), wanted)
+                for place in range(cells.shape[1]):
                     cell = cells[:, place]
                     meets = np.isfinite(away[:, place])
                     if place and np.isfinite(reach):
@@ -248,4 +249,4 @@ def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: Pivots, max_d
                         yield rows_of(cell[there] * np.int64(1 << 20) + part, np.where(stands & (place == 0), 0, max(place, 1)), i[there], packed(v[there]))
 
     assigned = df.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(assign, "shard long, place int, id long, vec binary")
-    return assigned.repartition(max(8, -(-pivots.rows * VISITS // (2 * SHARD_ROWS))), "shard")
+    return assigned.repartition(max(8, -(-pivots.rows * wanted // (2 * SHARD_ROWS))), "shard")
