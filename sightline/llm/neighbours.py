@@ -20,6 +20,7 @@ from sightline.llm.vectors import ASIDE, classes, copy_rows, distinct_rows, fit_
 from sightline.runtime import Staging
 
 DEGREE, BEAM, VISITOR_BEAM, ALPHA, WIDTH = 24, 10, 8, 1.1, 2
+ALIKE = 1.5  # squared distances that differ by less are about as far
 
 
 def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
@@ -37,6 +38,7 @@ def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
             if not len(query_ids):
                 continue
             near, d = graph.search_own() if queries is own else graph.search(queries.astype(np.float32), max(VISITOR_BEAM, k + 3))
+            _settle(graph, queries.astype(np.float32), near, d, k, limit)
             known = np.append(own_ids, -1)[near]
             d = np.where(np.isfinite(d), np.rint(d), np.inf)
             other = (known != query_ids[:, None]) & np.isfinite(d) & (d <= limit)
@@ -48,6 +50,22 @@ def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:
     return _pairs(source, target, squared)
 
 
+def _settle(graph: ProximityGraph, queries: np.ndarray, near: np.ndarray, d: np.ndarray, k: int, limit: float) -> None:
+    """Compare the queries whose ``k`` nearest are all about as far away with the whole cell, in place.
+
+    In such a region no edge leads nearer and a beam settles anywhere; elsewhere it does not.
+    """
+    rows = np.flatnonzero((d[:, k - 1] <= min(limit, np.finfo(np.float32).max)) & (d[:, k - 1] <= ALIKE * d[:, 0])) if d.shape[1] >= k else np.zeros(0, int)
+    beam = min(d.shape[1], graph.n)
+    for s in range(0, len(rows), 512):
+        r = rows[s : s + 512]
+        q = queries[r]
+        every = np.einsum("ij,ij->i", q, q)[:, None] + graph.norm[None, : graph.n] - 2 * (q @ graph.x[: graph.n].T)
+        best = np.argpartition(every, beam - 1, axis=1)[:, :beam]
+        best = np.take_along_axis(best, np.argsort(np.take_along_axis(every, best, 1), axis=1, kind="stable"), 1)
+        near[r, :beam], d[r, :beam] = best, np.take_along_axis(every, best, 1)
+
+
 def _pairs(source: list, target: list, squared: list) -> pa.Table:
     columns = [np.concatenate(c) for c in (source, target, squared)]
     return pa.table({"src": pa.array(columns[0], pa.int64()), "dst": pa.array(columns[1], pa.int64()), "d2": pa.array(columns[2], pa.int64())})

@@ -21,10 +21,11 @@ DIM = 128
 SAMPLE_ROWS, MOST_SAMPLED = 16_384, 262_144  # pivots are fitted on a 500th of the rows, within these bounds
 CELL_ROWS = 1_000  # vectors to a pivot, as long as that takes no more than MOST_PIVOTS
 MOST_PIVOTS = 2_048
-DIVIDED_ROWS, INNER_ROWS = 8_000, 4_000  # a cell with more vectors gets a pivot of its own for so many each
+DIVIDED_ROWS, INNER_ROWS = 12_000, 8_000  # a cell with more vectors gets a pivot of its own for so many each
 MOST_INNER = 65_536
 PART_ROWS = 16_000  # a cell that still has more vectors is dealt into parts of so many
-VISITS, FAR_VISITS = 3, 12  # cells of a vector, its own included; without a greatest distance; one more in a divided cell
+VISITS, FAR_VISITS = 3, 12  # cells of a vector, its own included; without a greatest distance
+CROWD_VISITS = 5  # more for a vector in the midst of a divided cell
 MARGIN = 0.25  # a vector visits a cell if the plane before it is no further than this share of the greatest distance
 SHARD_ROWS = 40_000  # vectors to a task of the shards
 ASIDE = -1  # the place of a copy that does not travel to a shard
@@ -134,8 +135,8 @@ class Pivots:
         return np.take_along_axis(cells, order, 1), np.take_along_axis(away, order, 1)
 
     def _divided(self, x: np.ndarray, cells: np.ndarray, away: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same with inner cells in place of divided ones; only a row in the midst of a crowd has one more than ``visits``."""
-        width = visits + 1
+        """The same with inner cells in place of divided ones; only a row in the midst of a crowd has ``CROWD_VISITS`` more."""
+        width = visits + CROWD_VISITS
         wide, far = np.repeat(cells, width, axis=1), np.full((len(x), cells.shape[1] * width), np.inf, np.float32)
         far[:, ::width] = away
         for cell, points in self.inner.items():
@@ -204,7 +205,7 @@ def fit_pivots(df: DataFrame, id_col: str, vector_col: str) -> Pivots:
 def to_shards(df: DataFrame, id_col: str, vector_col: str, pivots: Pivots, max_distance: float | None = None, visits: int | None = None) -> DataFrame:
     """``shard, place, id, vec``: each vector in its own cell, at place 0, and as a visitor in those it is near to.
 
-    A vector visits the cells of its nearest pivots, ``FAR_VISITS`` with its own (one more in a divided cell);
+    A vector visits the cells of its nearest pivots, ``FAR_VISITS`` with its own (``CROWD_VISITS`` more in a divided cell);
     with a ``max_distance`` ``VISITS``, and only those whose dividing plane is within ``MARGIN`` of it. Two vectors
     with a plane between them meet if either visits, so a pair is lost only if it stands across more planes
     than that, or straight across one with both ends far from it. In a cell of several parts a vector stands in
