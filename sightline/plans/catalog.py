@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("reports", "model", "graphs", "conversions", "formats", "integrity")
+MODULES = ("reports", "model", "graphs", "conversions", "formats", "integrity", "streams")
 
 
 def _parts():
