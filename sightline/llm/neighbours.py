@@ -20,7 +20,7 @@ from sightline.llm.vectors import ASIDE, classes, copy_rows, distinct_rows, fit_
 from sightline.runtime import Staging
 
 DEGREE, BEAM, VISITOR_BEAM, ALPHA, WIDTH = 24, 10, 8, 1.1, 2
-ALIKE = 1.5  # squared distances that differ by less are about as far
+ALIKE = 1.3  # squared distances that differ by less are about as far
 
 
 def _search_shard(rows: pa.Table, k: int, limit: float) -> pa.Table:

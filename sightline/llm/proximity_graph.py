@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
+BLOCK = 512  # queries that search together
 ENTRIES = 512  # vectors a search looks at first; the nearest of them are where it begins
 
 
@@ -38,8 +39,8 @@ class ProximityGraph:
         beam = beam or self.beam
         ids = np.full((len(queries), beam), self.n, np.int32)
         dist = np.full((len(queries), beam), np.inf, np.float32)
-        for s in range(0, len(queries), 512):
-            ids[s : s + 512], dist[s : s + 512] = self._search(np.ascontiguousarray(queries[s : s + 512]), beam)
+        for s in range(0, len(queries), BLOCK):
+            ids[s : s + BLOCK], dist[s : s + BLOCK] = self._search(np.ascontiguousarray(queries[s : s + BLOCK]), beam)
         return ids, dist
 
     def search_own(self, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +48,8 @@ class ProximityGraph:
         beam = beam or self.beam
         ids = np.full((self.n, beam), self.n, np.int32)
         dist = np.full((self.n, beam), np.inf, np.float32)
-        for s in range(0, self.n, 512):
-            rows = np.arange(s, min(s + 512, self.n))
+        for s in range(0, self.n, BLOCK):
+            rows = np.arange(s, min(s + BLOCK, self.n))
             ids[rows], dist[rows] = self._search(self.x[rows], beam, rows)
         return ids, dist
 
