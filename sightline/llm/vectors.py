@@ -26,7 +26,7 @@ MOST_INNER = 65_536
 PART_ROWS = 16_000  # a cell that still has more vectors is dealt into parts of so many
 VISITS, FAR_VISITS = 3, 12  # cells of a vector, its own included; without a greatest distance
 CROWD_VISITS = 5  # more for a vector in the midst of a divided cell
-MARGIN = 0.25  # a vector visits a cell if the plane before it is no further than this share of the greatest distance
+MARGIN = 0.2  # a vector visits a cell if the plane before it is no further than this share of the greatest distance
 SHARD_ROWS = 40_000  # vectors to a task of the shards
 ASIDE = -1  # the place of a copy that does not travel to a shard
 SPREAD = 300.0  # least distance between pivots that are not the split of a crowded cell
