@@ -164,7 +164,7 @@ def training_documents(documents: DataFrame, labels: DataFrame, subject_areas: D
     named = labels.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(name, F.lit("")).alias("label")).distinct()
     known = named.join(F.broadcast(areas.select("label").distinct().unionByName(labels.sparkSession.createDataFrame([("",)], "label string"))), "label")
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("given")).orderBy(*by_hash).limit(max_labelled)
+    chosen = Staging(documents.sparkSession, "labelled").write(known.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("given")).orderBy(*by_hash).limit(max_labelled))
     held = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("held")), F.lit(5)) == 0) & (F.size("given") == 1)
     texts = documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = texts.join(chosen, "doc_id").select("doc_id", "given", held.alias("held"), "text")
@@ -189,7 +189,9 @@ def learn_rules(
     (three, of 500 or more).
     """
     staging = Staging(documents.sparkSession, "rules")
-    training = staging.write(_training_rows(training_documents(documents, labels, subject_areas, max_labelled, least_training)))
+    chosen = training_documents(documents, labels, subject_areas, max_labelled, least_training)
+    spread = min(64, max(4, documents.sparkSession.sparkContext.defaultParallelism))  # a bounded number of documents, from few files
+    training = staging.write(_training_rows(chosen.repartition(spread, "doc_id")))
     rules = Rules()
     for _ in range(rounds + 1):
         rows = staging.write(_labelled(training.filter("NOT held"), rules, share))
