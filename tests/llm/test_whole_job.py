@@ -57,6 +57,17 @@ def test_chains_of_single_links_over_many_cells(spark, monkeypatch):
     assert {(r["id"], r["cluster_id"]) for r in clusters.similarity_clusters(df, "kp_id", "descriptor", exact=True).collect()} == want
 
 
+def test_members_are_found_where_no_cell_brings_them_together(spark, monkeypatch):
+    """Without being asked for, links across cells are found, of single vectors, of balls and of balls of several parts."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 10)
+    monkeypatch.setattr(exact, "BLOCK", 64)
+    monkeypatch.setattr(clusters, "GROUP_ROWS", 4)
+    data, df = frame(spark, np.concatenate([chains(seed=8), dense_and_other(seed=9, n=100)]), (150, 200))
+    want = closed_sets(usable(data), 240.0, 8)
+    assert {(r["id"], r["cluster_id"]) for r in clusters.cluster_members(df, "kp_id", "descriptor", exact=False).collect()} != want
+    assert {(r["id"], r["cluster_id"]) for r in clusters.cluster_members(df, "kp_id", "descriptor").collect()} == want
+
+
 def test_one_cluster_over_many_cells_is_described_whole(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL_ROWS", 10)
     monkeypatch.setattr(exact, "BLOCK", 64)
