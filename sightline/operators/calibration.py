@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.operators.structure import view_pairs
+
 # A calibration with a greater error is accepted with a warning, and the greatest radial term else.
 WARNING_ERROR, GREATEST_K1 = 2.0, 1.0
 # Names of the options, the first being what an unknown name stands for.
@@ -141,6 +143,24 @@ def match_totals(tried: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+def scene_match_totals(views: DataFrame, id_col: str, scene: str, matches: DataFrame) -> DataFrame:
+    """What :func:`match_totals` gives for all pairs i < j of the views of each scene, which are counted and not listed.
+
+    n views of a scene are n (n - 1) / 2 pairs; only pairs of views that stand in several scenes are listed, as a
+    pair counts once.
+    """
+    placed = views.select(F.col(scene).alias("_s"), F.col(id_col).alias("view")).filter("_s IS NOT NULL AND view IS NOT NULL").distinct()
+    tried = placed.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("tried"))
+    several = placed.join(placed.groupBy("view").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("view"), "view", "left_semi")
+    again = view_pairs(several, "view", "_s").groupBy("view_i", "view_j").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("again"))
+    found = matches.filter("view_i < view_j").groupBy("view_i", "view_j").agg(F.count(F.lit(1)).alias("n"))
+    a, b = (placed.select("_s", F.col("view").alias(f"view_{n}")) for n in "ij")
+    matched = found.join(a, "view_i").join(b, ["_s", "view_j"]).select("view_i", "view_j", "n").distinct()
+    rows = matched.agg(F.count(F.lit(1)).alias("n_matched"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches")).crossJoin(tried).crossJoin(again)
+    n_tried = F.col("tried") - F.col("again")
+    return rows.select(n_tried.alias("n_tried"), "n_matched", "n_matches", (n_tried - F.col("n_matched")).alias("n_empty"))
+
+
 def track_points(observations: DataFrame) -> DataFrame:
     """``view_id, points``: of each view the features it has in tracks, as structs ``feature_id, track_id``, in order."""
     return observations.groupBy("view_id").agg(F.array_sort(F.collect_set(F.struct("feature_id", "track_id"))).alias("points"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sightline.operators import calibration as cal
+from sightline.operators import structure as st
 
 NAN = float("nan")
 
@@ -46,3 +47,14 @@ def test_conversions_and_coordinates(spark):
     assert rows(cal.point_errors(points, spark.createDataFrame([(1, 3.0, 4.0, 0.0), (5, 0.0, 0.0, 0.0)], "point_id long, x double, y double, z double"))) == [(1, 5.0)]
     m = spark.createDataFrame([(1, 2, 0, 5, 6, True)], "view_i long, view_j long, match_idx long, feat_i long, feat_j long, is_inlier boolean")
     assert rows(cal.from_index_matches(cal.to_index_matches(m))) == [(1, 2, 0, 5, 6, False)]
+
+
+def test_match_totals_of_scenes_counts_pairs_and_lists_none(spark):
+    views = spark.createDataFrame([(v, s) for s, ids in (("a", (1, 2, 3, 3)), ("b", (2, 3, 4)), ("c", (9,))) for v in ids] + [(5, None), (None, "a")], "view_id long, scene string")
+    found = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 2), (1, 4), (9, 9), (3, 5)], "view_i long, view_j long")
+    want = rows(cal.match_totals(st.view_pairs(views, "view_id", "scene"), found))
+    assert rows(cal.scene_match_totals(views, "view_id", "scene", found)) == want == [(5, 2, 3, 3)]
+    assert rows(cal.scene_match_totals(views.limit(0), "view_id", "scene", found)) == [(0, 0, 0, 0)]
+    n = 300_000  # one scene, whose 45 billion pairs no one could list
+    many = spark.range(n).select(F.col("id").alias("view_id"), F.lit("s").alias("scene"))
+    assert rows(cal.scene_match_totals(many, "view_id", "scene", found)) == [(n * (n - 1) // 2, 4, 5, n * (n - 1) // 2 - 4)]
