@@ -38,8 +38,9 @@ def _poses(spark, sf_dir) -> DataFrame:
 def io_feature_text(spark, sf_dir):
     """Features of each view as ``x y scale orientation`` lines and back: their number and sums."""
     path = _folder(spark, "features")
-    text.write_feature_text(st.features(table(spark, sf_dir, "keypoints")), path)
-    back = text.read_feature_text(spark, f"{path}/*/*").withColumn("view_id", F.regexp_extract("path", "view_id=(-?[0-9]+)", 1).cast("long"))
+    keypoints = table(spark, sf_dir, "keypoints").repartition("image_id")  # the rows of a view stay together until they are written
+    text.write_feature_text(st.features(keypoints), path)
+    back = text.read_feature_folder(spark, path)
     return back.groupBy("view_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 2).alias("x"), F.round(F.sum("y"), 2).alias("y"))
 
 

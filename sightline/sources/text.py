@@ -6,9 +6,12 @@ file by file. Malformed lines are skipped, as stated at each reader.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +45,72 @@ def list_datasets(spark: SparkSession, root: str) -> list[str]:
 
 def read_feature_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``path, line_no, x, y, size, angle`` of ``x y [scale orientation]`` lines; lines without two numbers are skipped."""
-    rows = _files(spark, path).select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    part = F.split(F.trim("line"), r"\s+")
-    n = [F.try_element_at(part, F.lit(i)).try_cast("double") for i in (1, 2, 3, 4)]
-    return rows.select("path", "line_no", *[c.alias(name) for c, name in zip(n, ("x", "y", "size", "angle"), strict=True)]).filter("x IS NOT NULL AND y IS NOT NULL")
+    return _feature_lines(_files(spark, path))
+
+
+FILES = 4_096  # files of views that one task reads
 
 
 def write_feature_text(features: DataFrame, path: str) -> None:
+    """A file of ``x y scale orientation`` lines for each view, ``view_id=<id>.txt`` in the folder, which is replaced.
+
+    Tasks write the files of their views themselves: a file for each view is too many for a committer that moves
+    them one by one, and a folder for each would take as much disk as the file. A file gets its name when it is whole,
+    so a task that runs again does no harm. The lines of a view are one value, bounded by its features.
+    """
     line = F.format_string("%.6f %.6f %.6f %.6f", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("x", "y", "size", "angle")])
-    features.select("view_id", "feature_id", line.alias("value")).repartition("view_id").sortWithinPartitions("view_id", "feature_id").select("view_id", "value").write.mode("overwrite").partitionBy("view_id").text(path)
+    lines = features.groupBy("view_id").agg(F.array_sort(F.collect_list(F.struct("feature_id", line.alias("line")))).alias("lines"))
+    rows = lines.select(F.col("view_id").cast("string").alias("view"), F.concat(F.array_join("lines.line", "\n"), F.lit("\n")).alias("text"))
+    files, folder = pyarrow.fs.FileSystem.from_uri(path)
+    if files.get_file_info(folder).type != pyarrow.fs.FileType.NotFound:
+        files.delete_dir(folder)
+    files.create_dir(folder, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = pyarrow.fs.FileSystem.from_uri(path)
+        attempt = f"{folder}/.{uuid.uuid4().hex}"
+        for batch in batches:
+            for view, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with files.open_output_stream(attempt) as out:
+                    out.write(text.encode())
+                files.move(attempt, f"{folder}/view_id={'__HIVE_DEFAULT_PARTITION__' if view is None else view}.txt")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    rows.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
+def _feature_lines(rows: DataFrame) -> DataFrame:
+    """``path, line_no, x, y, size, angle`` of ``path, text``."""
+    lines = rows.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    part = F.split(F.trim("line"), r"\s+")
+    n = [F.try_element_at(part, F.lit(i)).try_cast("double") for i in (1, 2, 3, 4)]
+    return lines.select("path", "line_no", *[c.alias(name) for c, name in zip(n, ("x", "y", "size", "angle"), strict=True)]).filter("x IS NOT NULL AND y IS NOT NULL")
+
+
+def read_feature_folder(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`read_feature_text` gives for ``<path>/*``, with ``view_id`` where the name has one: of any number of files.
+
+    The driver holds no more than the names of the files; a task reads :data:`FILES` of them. Files whose names
+    begin with a dot or an underscore are not read, as by Spark.
+    """
+    files, folder = pyarrow.fs.FileSystem.from_uri(path)
+    names = sorted(f.base_name for f in files.get_file_info(pyarrow.fs.FileSelector(folder)) if f.is_file and f.base_name[0] not in "._")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = pyarrow.fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                mine = names[k * FILES : (k + 1) * FILES]
+                for s in range(0, len(mine), 64):
+                    found, texts = [f"{folder}/{name}" for name in mine[s : s + 64]], []
+                    for name in found:
+                        with files.open_input_stream(name) as stream:
+                            texts.append(stream.read().decode(errors="replace").replace("\r\n", "\n"))
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(texts, pa.string())], ["path", "text"])
+
+    n = -(-len(names) // FILES)
+    rows = spark.range(0, n, 1, max(1, n)).mapInArrow(read, "path string, text string")
+    return _feature_lines(rows).withColumn("view_id", F.regexp_extract("path", "view_id=(-?[0-9]+)", 1).try_cast("long"))
 
 
 MATCHES = "view_i long, view_j long, match_idx long, feat_i long, feat_j long, is_inlier boolean"

@@ -116,3 +116,20 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert {(r["event_type"], r["n"]) for r in spark.table("stats").collect()} == {("a", 1), ("b", 1)}
     assert rows(spark.table("steps")) == [(7, "a->b", 60000.0)]
+
+
+def test_a_file_for_each_of_many_views(spark, tmp_path, monkeypatch):
+    """As many files as views, written over what was there, without the committer's moves or a task for a few files."""
+    monkeypatch.setattr(text, "FILES", 100)
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "view_id=7000.txt").write_text("9 9 9 9\n")
+    views = spark.range(-2, 498).selectExpr("id view_id", "explode(sequence(1L, 1 + abs(id) % 3)) feature_id")
+    features = views.selectExpr("view_id", "feature_id", "view_id + 0.5D * feature_id x", "cast(null as double) y", "2D size", "1D angle")
+    path = f"file://{tmp_path}/f"
+    text.write_feature_text(features, path)
+    assert len(list((tmp_path / "f").glob("*"))) == 500 and (tmp_path / "f/view_id=2.txt").read_text().splitlines()[1] == "3.000000 0.000000 2.000000 1.000000"
+    back = text.read_feature_folder(spark, path)
+    assert back.rdd.getNumPartitions() == 5
+    want = rows(features.selectExpr("view_id", "feature_id - 1 line_no", "x", "0D y", "size", "angle"))
+    assert rows(back.select("view_id", "line_no", "x", "y", "size", "angle")) == want
+    assert rows(text.read_feature_text(spark, f"{path}/*").select("line_no", "x", "y", "size", "angle")) == rows(back.select("line_no", "x", "y", "size", "angle"))
