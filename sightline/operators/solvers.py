@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -437,38 +438,133 @@ def decompose_essential(e: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> tuple[
 
 
 TWO_VIEW = "view_i long, view_j long, n_matches long, n_inliers long, r array<double>, t array<double>, inliers array<boolean>, reason string"
+AT_ONCE = 65_536  # bearings of the pairs that are solved side by side
 
 
-def two_view_poses(bearings: DataFrame, least_matches: int = 50, least_inliers: int = 50, least_ratio: float = 0.25, threshold: float = 0.005) -> DataFrame:
-    """Relative pose x_j ~ R x_i + t of each pair of ``view_i, view_j, match_idx, b1, b2``, or why there is none.
+def _eight_points(b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """:func:`eight_point` for each of a stack; rows of zeros add nothing."""
+    rows = np.einsum("gni,gnj->gnij", b2, b1).reshape(len(b1), -1, 9)
+    u, _, vt = np.linalg.svd(np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)[2][:, -1].reshape(-1, 3, 3))
+    return u @ np.diag([1.0, 1.0, 0.0]) @ vt
 
-    Pairs with too few matches are set aside before any row goes to Python. ``reason`` is ``ok``,
-    ``too_few_matches``, ``too_few_inliers`` or ``too_low_ratio``; ``inliers`` is in the order of match_idx.
-    A pair's matches are bounded by its images' features.
+
+def _residuals(e: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """:func:`epipolar_residual` for each of a stack."""
+    l2, l1 = b1 @ e.transpose(0, 2, 1), b2 @ e
+    s = np.abs(np.einsum("gni,gni->gn", b2, l2))
+    return np.maximum(s / np.maximum(np.linalg.norm(l2, axis=2), 1e-12), s / np.maximum(np.linalg.norm(l1, axis=2), 1e-12))
+
+
+def _ransac_eight(b1: np.ndarray, b2: np.ndarray, n: np.ndarray, threshold: float, seeds: np.ndarray, rounds: int = 500, sure: float = 0.999) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`ransac` of eight points for a stack of pairs with ``n`` bearings each, in step: the samples of a pair, and so its
+    model, are the same as if it stood alone. Gives essential matrices and inliers."""
+    there = np.arange(b1.shape[1]) < n[:, None]
+    random = [np.random.RandomState(s) for s in seeds]
+    best, inliers, most = np.zeros((len(n), 3, 3)), np.zeros(there.shape, bool), np.full(len(n), rounds)
+    active, k = np.flatnonzero(n >= 8), 0
+    while len(active):
+        k += 1
+        sample = np.stack([random[p].choice(n[p], 8, replace=False) for p in active])
+        model = _eight_points(b1[active[:, None], sample], b2[active[:, None], sample])
+        good = (_residuals(model, b1[active], b2[active]) <= threshold) & there[active]
+        better = good.sum(1) > inliers[active].sum(1)
+        p = active[better]
+        best[p], inliers[p] = model[better], good[better]
+        share = (inliers[p].sum(1) / n[p]) ** 8
+        with np.errstate(divide="ignore"):
+            needed = np.ceil(np.log(1 - sure) / np.log(np.maximum(1 - share, 1e-12)))
+        most[p] = np.where(share < 1, np.minimum(most[p], needed), k)
+        active = active[k < most[active]]
+    p = np.flatnonzero(inliers.sum(1) >= 8)
+    if len(p):
+        refit = _eight_points(b1[p] * inliers[p][:, :, None], b2[p])
+        again = (_residuals(refit, b1[p], b2[p]) <= threshold) & there[p]
+        kept = again.sum(1) >= inliers[p].sum(1)
+        best[p[kept]], inliers[p[kept]] = refit[kept], again[kept]
+    return best, inliers
+
+
+def _decompose(e: np.ndarray, b1: np.ndarray, b2: np.ndarray, inliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`decompose_essential` for each of a stack, by its inliers."""
+    u, _, vt = np.linalg.svd(e)
+    u, vt = u * np.sign(np.linalg.det(u))[:, None, None], vt * np.sign(np.linalg.det(vt))[:, None, None]
+    w = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    rotations, shifts, front = [], [], []
+    for r in (u @ w @ vt, u @ w.T @ vt):
+        a = b1 @ r.transpose(0, 2, 1)
+        aa, bb, ab = (np.einsum("gni,gni->gn", p, q) for p, q in ((a, a), (b2, b2), (a, b2)))
+        det = np.maximum(aa * bb - ab * ab, 1e-12)
+        for t in (u[:, :, 2], -u[:, :, 2]):
+            at, bt = np.einsum("gni,gi->gn", a, t), np.einsum("gni,gi->gn", b2, t)
+            front.append(((((ab * bt - bb * at) / det > 0) & ((aa * bt - ab * at) / det > 0)) & inliers).sum(1))
+            rotations.append(r)
+            shifts.append(t)
+    which, row = np.argmax(front, axis=0), np.arange(len(e))
+    return np.stack(rotations)[which, row], np.stack(shifts)[which, row]
+
+
+def _solve_pairs(i: np.ndarray, j: np.ndarray, first: list[np.ndarray], second: list[np.ndarray], least_inliers: int, least_ratio: float, threshold: float) -> list[tuple]:
+    """Rows of ``TWO_VIEW`` for pairs with the bearings ``first`` and ``second``, solved side by side."""
+    n = np.array([len(v) for v in first])
+    b1, b2 = np.zeros((len(n), n.max(), 3)), np.zeros((len(n), n.max(), 3))
+    for k in range(len(n)):
+        b1[k, : n[k]], b2[k, : n[k]] = first[k], second[k]
+    seeds = np.array([(12345 ^ (7919 * int(a) + 7927 * int(b))) % 2**32 for a, b in zip(i, j, strict=True)])
+    e, inliers = _ransac_eight(b1, b2, n, threshold, seeds)
+    r, t = _decompose(e, b1, b2, inliers)
+    out = []
+    for k, found in enumerate(inliers.sum(1).tolist()):
+        reason = "too_few_inliers" if found < max(least_inliers, 8) else "too_low_ratio" if found / n[k] < least_ratio else "ok"
+        pose = (r[k].ravel().tolist(), t[k].tolist()) if reason == "ok" else (None, None)
+        out.append((int(i[k]), int(j[k]), int(n[k]), found, *pose, inliers[k, : n[k]].tolist(), reason))
+    return out
+
+
+def two_view_poses_of_lists(pairs: DataFrame, least_matches: int = 50, least_inliers: int = 50, least_ratio: float = 0.25, threshold: float = 0.005) -> DataFrame:
+    """:func:`two_view_poses` of rows ``view_i, view_j, b1, b2`` that hold the bearings of all matches of a pair, in order.
+
+    Pairs are solved many at a time where they are, without a shuffle; those with too few matches do not go to Python.
     """
-    sizes = bearings.groupBy("view_i", "view_j").agg(F.count(F.lit(1)).alias("n_matches"))
     least = max(least_matches, 8)
-    few = sizes.filter(F.col("n_matches") < least).select(
-        "view_i", "view_j", "n_matches", F.lit(0).cast("long").alias("n_inliers"), F.lit(None).cast("array<double>").alias("r"), F.lit(None).cast("array<double>").alias("t"),
+    n = F.size("b1")
+    few = pairs.filter(n < least).select(
+        "view_i", "view_j", n.cast("long").alias("n_matches"), F.lit(0).cast("long").alias("n_inliers"), F.lit(None).cast("array<double>").alias("r"), F.lit(None).cast("array<double>").alias("t"),
         F.lit(None).cast("array<boolean>").alias("inliers"), F.lit("too_few_matches").alias("reason"),
     )
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("match_idx")
-        i, j = int(rows["view_i"].iloc[0]), int(rows["view_j"].iloc[0])
-        b1, b2 = np.array(rows["b1"].tolist()), np.array(rows["b2"].tolist())
-        seed = (12345 ^ (7919 * i + 7927 * j)) % 2**32
-        e, inliers = ransac(len(rows), 8, lambda k: eight_point(b1[k], b2[k]), lambda m: epipolar_residual(m, b1, b2), threshold, seed)
-        n = int(inliers.sum())
-        reason = "too_few_inliers" if n < max(least_inliers, 8) else "too_low_ratio" if n / len(rows) < least_ratio else "ok"
-        r = t = None
-        if reason == "ok":
-            rotation, translation = decompose_essential(e, b1[inliers], b2[inliers])
-            r, t = rotation.ravel().tolist(), translation.tolist()
-        return pd.DataFrame([(i, j, len(rows), n, r, t, inliers.tolist(), reason)], columns=["view_i", "view_j", "n_matches", "n_inliers", "r", "t", "inliers", "reason"])
-
-    enough = bearings.join(sizes.filter(F.col("n_matches") >= least).select("view_i", "view_j"), ["view_i", "view_j"], "left_semi")
-    return enough.groupBy("view_i", "view_j").applyInPandas(solve, TWO_VIEW).unionByName(few)
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            bearings = [[v.reshape(-1, 3) for v in np.split(c.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.asarray(c.value_lengths()))[:-1])] for c in batch.columns[2:]]
+            size = np.array([len(v) for v in bearings[0]])
+            order, start = np.argsort(size, kind="stable"), 0
+            while start < len(order):
+                end = start + 1
+                while end < len(order) and (end + 1 - start) * size[order[end]] <= AT_ONCE:
+                    end += 1
+                now = order[start:end]
+                out = _solve_pairs(i[now], j[now], *([b[k] for k in now] for b in bearings), least_inliers, least_ratio, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), TWO_VIEW_ARROW, strict=True)], schema=TWO_VIEW_ARROW)
+                start = end
+
+    enough = pairs.filter(n >= least).select(F.col("view_i").cast("long"), F.col("view_j").cast("long"), F.flatten("b1").alias("b1"), F.flatten("b2").alias("b2"))
+    return enough.mapInArrow(solve, TWO_VIEW).unionByName(few)
+
+
+TWO_VIEW_ARROW = pa.schema(
+    [(c, pa.int64()) for c in ("view_i", "view_j", "n_matches", "n_inliers")] + [(c, pa.list_(pa.float64())) for c in "rt"] + [("inliers", pa.list_(pa.bool_())), ("reason", pa.string())]
+)
+
+
+def two_view_poses(bearings: DataFrame, least_matches: int = 50, least_inliers: int = 50, least_ratio: float = 0.25, threshold: float = 0.005) -> DataFrame:
+    """Relative pose x_j ~ R x_i + t of each pair of ``view_i, view_j, match_idx, b1, b2``, or why there is none.
+
+    Pairs with too few matches are set aside before any row goes to Python. ``reason`` is ``ok``,
+    ``too_few_matches``, ``too_few_inliers`` or ``too_low_ratio``; ``inliers`` is in the order of match_idx.
+    A pair's matches are gathered in one row; they are bounded by its images' features.
+    """
+    lists = bearings.groupBy("view_i", "view_j").agg(F.array_sort(F.collect_list(F.struct("match_idx", "b1", "b2"))).alias("m"))
+    return two_view_poses_of_lists(lists.select("view_i", "view_j", F.col("m.b1").alias("b1"), F.col("m.b2").alias("b2")), least_matches, least_inliers, least_ratio, threshold)
 
 
 def random_subset(df: DataFrame, keys: Sequence[str], order: str, n: int, seed: int) -> DataFrame:

@@ -314,6 +314,34 @@ def test_two_view_recovers(spark):
     assert np.dot(out[2]["t"], t / np.linalg.norm(t)) > 0.99
 
 
+def test_two_view_poses_side_by_side_are_those_of_each_alone(spark):
+    r = np.random.RandomState(5)
+    rotation = np.linalg.qr(r.normal(size=(3, 3)))[0]
+    rotation *= np.sign(np.linalg.det(rotation))
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    data = []
+    for j, (n, wrong) in enumerate([(8, 0.0), (60, 0.0), (60, 0.3), (90, 0.5), (70, 1.0), (5, 0.0)]):
+        x = r.normal(size=(n, 3)) + [0, 0, 5]
+        b1, b2 = unit(x), unit(np.where(r.rand(n, 1) < wrong, r.normal(size=(n, 3)), x @ rotation.T + [0.5, 0.1, -0.2]))
+        data.append((1, 2 + j, b1.tolist(), b2.tolist()))
+    pairs = spark.createDataFrame(data, "view_i long, view_j long, b1 array<array<double>>, b2 array<array<double>>")
+    found = {x["view_j"]: x for x in solvers.two_view_poses_of_lists(pairs, 8, 8).collect()}
+    assert [found[j]["reason"] for j in (2, 3, 4, 7)] == ["ok", "ok", "ok", "too_few_matches"] and len(found) == 6
+    for _, j, b1, b2 in data[:-1]:
+        b1, b2 = np.array(b1), np.array(b2)
+        e, inliers = solvers.ransac(len(b1), 8, lambda k: solvers.eight_point(b1[k], b2[k]), lambda m: solvers.epipolar_residual(m, b1, b2), 0.005, (12345 ^ (7919 + 7927 * j)) % 2**32)
+        assert found[j]["inliers"] == inliers.tolist() and found[j]["n_inliers"] == inliers.sum()
+        if found[j]["reason"] == "ok":
+            alone = solvers.decompose_essential(e, b1[inliers], b2[inliers])
+            assert np.allclose(found[j]["r"], alone[0].ravel(), atol=1e-6) and np.allclose(found[j]["t"], alone[1], atol=1e-6)
+
+
+def test_two_view_poses_of_lists_needs_no_shuffle(spark):
+    pairs = spark.createDataFrame([(1, 2, [[0.0, 0.0, 1.0]], [[0.0, 0.0, 1.0]])], "view_i long, view_j long, b1 array<array<double>>, b2 array<array<double>>")
+    plan = solvers.two_view_poses_of_lists(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
 def test_model_operators(spark):
     m = spark.createDataFrame([(1, 2, 0, 5, 6, True), (1, 2, 1, 7, 8, None), (3, 4, 0, 1, 1, True)], "view_i long, view_j long, match_idx long, feat_i long, feat_j long, is_inlier boolean")
     kept = {(r["view_i"], r["match_idx"]): r["is_inlier"] for r in st.keep_matched_pairs(m, 2).collect()}
