@@ -68,6 +68,28 @@ def test_members_are_found_where_no_cell_brings_them_together(spark, monkeypatch
     assert {(r["id"], r["cluster_id"]) for r in clusters.cluster_members(df, "kp_id", "descriptor").collect()} == want
 
 
+def test_single_vectors_are_compared_by_few_directions_whatever_balls_stand_beside_them():
+    r = np.random.RandomState(12)
+    lone = r.exponential(45, (1400, 128))
+    lone[700:760] = lone[:60] + r.normal(0, 1, (60, 128)) * np.linspace(16, 26, 60)[:, None]  # 180 to 300 apart
+    tight = [c + r.normal(0, w, (5, 128)) for c, w in zip(r.exponential(45, (160, 128)), np.linspace(1, 14, 160))]
+    tight[80:] = [t + r.normal(0, 1, 128) * 28 for t in tight[:80]]
+    x = np.clip(np.concatenate([lone, *tight]), 0, 255).round().astype(np.uint8)
+    label = np.r_[np.arange(1400), 1400 + np.repeat(np.arange(160) * 5, 5)]
+    first, about = clusters._balls(x, label)
+    bound = exact.Bound(x[::9].astype(np.float32), np.inf)
+    rows = {"root": label[first], "radius": about["radius"].to_numpy(), "vec": vectors.unpacked(about["centre"]), "members": about["members"].to_numpy(zero_copy_only=False)}
+    part = r.rand(len(first)) < 0.5
+    a, b = (clusters._Balls({c: v[p] for c, v in rows.items()}, bound) for p in (part, ~part))
+    assert clusters.GRADES[a.grade(240.0**2)] <= 64 < clusters.GRADES[a.grade((240.0 + 2 * a.radius.max()) ** 2)]
+    for p, q in ((a, b), (b, a), (a, a)):
+        apart = np.sqrt(((p.x[:, None].astype(np.float32) - q.x[None].astype(np.float32)) ** 2).sum(2))
+        want = {(i, j) for i, j in np.argwhere(apart <= 240 + p.radius[:, None] + q.radius[None]).tolist() if p.root[i] != q.root[j]}
+        got = {ij for i, j in clusters._near_balls(p, q, 240.0**2) for ij in zip(i.tolist(), j.tolist())}
+        assert want and (want <= got or p is q and want <= got | {(j, i) for i, j in got})
+        assert len(got) <= 1.2 * len(want) + 10
+
+
 def test_one_cluster_over_many_cells_is_described_whole(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL_ROWS", 10)
     monkeypatch.setattr(exact, "BLOCK", 64)
