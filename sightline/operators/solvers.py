@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
@@ -438,14 +438,17 @@ def decompose_essential(e: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> tuple[
 
 
 TWO_VIEW = "view_i long, view_j long, n_matches long, n_inliers long, r array<double>, t array<double>, inliers array<boolean>, reason string"
-AT_ONCE = 65_536  # bearings of the pairs that are solved side by side
+AT_ONCE = 16_384  # bearings of the pairs that are solved side by side
+SOURCES: list[np.random.RandomState] = []
 
 
 def _eight_points(b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
-    """:func:`eight_point` for each of a stack; rows of zeros add nothing."""
-    rows = np.einsum("gni,gnj->gnij", b2, b1).reshape(len(b1), -1, 9)
-    u, _, vt = np.linalg.svd(np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)[2][:, -1].reshape(-1, 3, 3))
-    return u @ np.diag([1.0, 1.0, 0.0]) @ vt
+    """:func:`eight_point` for each of a stack; rows of zeros add nothing. What eight rows leave is the last column of a QR
+    factor of their columns; of more rows only the triangle is decomposed."""
+    rows = (b2[:, :, :, None] * b1[:, :, None, :]).reshape(len(b1), -1, 9)
+    last = np.linalg.qr(rows.transpose(0, 2, 1), mode="complete")[0][:, :, -1] if rows.shape[1] < 9 else np.linalg.svd(np.linalg.qr(rows, mode="r"))[2][:, -1]
+    u, _, vt = np.linalg.svd(last.reshape(-1, 3, 3))
+    return u[:, :, :2] @ vt[:, :2]
 
 
 def _residuals(e: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
@@ -455,16 +458,24 @@ def _residuals(e: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
     return np.maximum(s / np.maximum(np.linalg.norm(l2, axis=2), 1e-12), s / np.maximum(np.linalg.norm(l1, axis=2), 1e-12))
 
 
+def _seeded(seeds: np.ndarray) -> list[np.random.RandomState]:
+    """Generators with these seeds, good until the next call: to make one takes a hundred times as long as to seed it again."""
+    SOURCES.extend(np.random.RandomState() for _ in range(len(seeds) - len(SOURCES)))
+    for source, seed in zip(SOURCES, seeds.tolist(), strict=False):
+        source.seed(seed)
+    return SOURCES
+
+
 def _ransac_eight(b1: np.ndarray, b2: np.ndarray, n: np.ndarray, threshold: float, seeds: np.ndarray, rounds: int = 500, sure: float = 0.999) -> tuple[np.ndarray, np.ndarray]:
     """:func:`ransac` of eight points for a stack of pairs with ``n`` bearings each, in step: the samples of a pair, and so its
     model, are the same as if it stood alone. Gives essential matrices and inliers."""
     there = np.arange(b1.shape[1]) < n[:, None]
-    random = [np.random.RandomState(s) for s in seeds]
+    random = _seeded(seeds)
     best, inliers, most = np.zeros((len(n), 3, 3)), np.zeros(there.shape, bool), np.full(len(n), rounds)
     active, k = np.flatnonzero(n >= 8), 0
     while len(active):
         k += 1
-        sample = np.stack([random[p].choice(n[p], 8, replace=False) for p in active])
+        sample = np.array([random[p].permutation(m)[:8] for p, m in zip(active.tolist(), n[active].tolist(), strict=True)])  # what choice without replacement takes
         model = _eight_points(b1[active[:, None], sample], b2[active[:, None], sample])
         good = (_residuals(model, b1[active], b2[active]) <= threshold) & there[active]
         better = good.sum(1) > inliers[active].sum(1)
@@ -503,30 +514,44 @@ def _decompose(e: np.ndarray, b1: np.ndarray, b2: np.ndarray, inliers: np.ndarra
     return np.stack(rotations)[which, row], np.stack(shifts)[which, row]
 
 
-def _solve_pairs(i: np.ndarray, j: np.ndarray, first: list[np.ndarray], second: list[np.ndarray], least_inliers: int, least_ratio: float, threshold: float) -> list[tuple]:
-    """Rows of ``TWO_VIEW`` for pairs with the bearings ``first`` and ``second``, solved side by side."""
-    n = np.array([len(v) for v in first])
-    b1, b2 = np.zeros((len(n), n.max(), 3)), np.zeros((len(n), n.max(), 3))
-    for k in range(len(n)):
-        b1[k, : n[k]], b2[k, : n[k]] = first[k], second[k]
+def _solve_pairs(i: np.ndarray, j: np.ndarray, n: np.ndarray, b1: np.ndarray, b2: np.ndarray, least_inliers: int, least_ratio: float, threshold: float) -> pa.RecordBatch:
+    """Rows of ``TWO_VIEW`` for pairs of ``n`` bearings each, zeros behind them, solved side by side."""
     seeds = np.array([(12345 ^ (7919 * int(a) + 7927 * int(b))) % 2**32 for a, b in zip(i, j, strict=True)])
     e, inliers = _ransac_eight(b1, b2, n, threshold, seeds)
     r, t = _decompose(e, b1, b2, inliers)
-    out = []
-    for k, found in enumerate(inliers.sum(1).tolist()):
-        reason = "too_few_inliers" if found < max(least_inliers, 8) else "too_low_ratio" if found / n[k] < least_ratio else "ok"
-        pose = (r[k].ravel().tolist(), t[k].tolist()) if reason == "ok" else (None, None)
-        out.append((int(i[k]), int(j[k]), int(n[k]), found, *pose, inliers[k, : n[k]].tolist(), reason))
-    return out
+    found = inliers.sum(1)
+    reason = np.where(found < max(least_inliers, 8), "too_few_inliers", np.where(found / n < least_ratio, "too_low_ratio", "ok"))
+
+    def lists(values: np.ndarray, sizes: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+        missing = None if there is None else pa.array(~there)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values), mask=missing)
+
+    ok = reason == "ok"
+    pose = [lists(v.ravel(), np.full(len(n), v[0].size), ok) for v in (r, t)]
+    inside = lists(inliers[np.arange(inliers.shape[1]) < n[:, None]], n)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (i, j, n, found)] + [*pose, inside, pa.array(reason.tolist(), pa.string())], schema=TWO_VIEW_ARROW)
+
+
+def _bearings_of_lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of columns of flat lists: bearings of each pair, and those of either side, one pair after another."""
+    return np.asarray(batch.column(2).value_lengths()) // 3, *(c.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3) for c in batch.columns[2:4])
 
 
 def two_view_poses_of_lists(pairs: DataFrame, least_matches: int = 50, least_inliers: int = 50, least_ratio: float = 0.25, threshold: float = 0.005) -> DataFrame:
-    """:func:`two_view_poses` of rows ``view_i, view_j, b1, b2`` that hold the bearings of all matches of a pair, in order.
+    """:func:`two_view_poses` of rows ``view_i, view_j, b1, b2`` that hold the bearings of all matches of a pair, in order."""
+    rows = pairs.select("view_i", "view_j", F.flatten("b1").alias("b1"), F.flatten("b2").alias("b2"), F.size("b1").alias("n"))
+    return two_view_poses_where_seen(rows, F.col("n"), _bearings_of_lists, least_matches, least_inliers, least_ratio, threshold)
+
+
+def two_view_poses_where_seen(
+    pairs: DataFrame, n: Column, seen: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]], least_matches: int = 50, least_inliers: int = 50, least_ratio: float = 0.25, threshold: float = 0.005
+) -> DataFrame:
+    """:func:`two_view_poses` of rows ``view_i, view_j`` and columns that ``seen`` makes the bearings of, in the task that
+    solves them: how many each pair has (``n``), and those of either side, one pair after another.
 
     Pairs are solved many at a time where they are, without a shuffle; those with too few matches do not go to Python.
     """
     least = max(least_matches, 8)
-    n = F.size("b1")
     few = pairs.filter(n < least).select(
         "view_i", "view_j", n.cast("long").alias("n_matches"), F.lit(0).cast("long").alias("n_inliers"), F.lit(None).cast("array<double>").alias("r"), F.lit(None).cast("array<double>").alias("t"),
         F.lit(None).cast("array<boolean>").alias("inliers"), F.lit("too_few_matches").alias("reason"),
@@ -534,20 +559,24 @@ def two_view_poses_of_lists(pairs: DataFrame, least_matches: int = 50, least_inl
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             i, j = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            bearings = [[v.reshape(-1, 3) for v in np.split(c.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.asarray(c.value_lengths()))[:-1])] for c in batch.columns[2:]]
-            size = np.array([len(v) for v in bearings[0]])
+            size, *sides = seen(batch)
+            first = np.cumsum(size) - size
             order, start = np.argsort(size, kind="stable"), 0
             while start < len(order):
                 end = start + 1
                 while end < len(order) and (end + 1 - start) * size[order[end]] <= AT_ONCE:
                     end += 1
                 now = order[start:end]
-                out = _solve_pairs(i[now], j[now], *([b[k] for k in now] for b in bearings), least_inliers, least_ratio, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), TWO_VIEW_ARROW, strict=True)], schema=TWO_VIEW_ARROW)
+                at = np.arange(size[now[-1]])
+                there = at < size[now, None]
+                b1, b2 = (side[np.where(there, first[now, None] + at, 0)] * there[:, :, None] for side in sides)
+                yield _solve_pairs(i[now], j[now], size[now], b1, b2, least_inliers, least_ratio, threshold)
                 start = end
 
-    enough = pairs.filter(n >= least).select(F.col("view_i").cast("long"), F.col("view_j").cast("long"), F.flatten("b1").alias("b1"), F.flatten("b2").alias("b2"))
+    enough = pairs.filter(n >= least).withColumns({c: F.col(c).cast("long") for c in ("view_i", "view_j")})
     return enough.mapInArrow(solve, TWO_VIEW).unionByName(few)
 
 

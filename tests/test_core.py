@@ -342,6 +342,17 @@ def test_two_view_poses_of_lists_needs_no_shuffle(spark):
     assert "MapInArrow" in plan and "Exchange" not in plan
 
 
+def test_two_view_poses_makes_its_bearings_where_pairs_are_solved(spark):
+    from sightline.plans import conversions
+
+    plan = conversions.two_view_poses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "sequence(" not in plan  # else a pair's pose is worked out again for each point
+    assert [s.permutation(60)[:8].tolist() for s in solvers._seeded(np.array([7, 2**32 - 1]))[:2]] == [np.random.RandomState(k).choice(60, 8, replace=False).tolist() for k in (7, 2**32 - 1)]
+    seen = lambda batch: (batch["n"].to_numpy(), *[np.repeat([[0.0, 0.0, 1.0]], sum(batch["n"].to_pylist()), axis=0)] * 2)
+    pairs = spark.createDataFrame([(1, 2, 60), (1, 3, 20), (1, 4, 55)], "view_i long, view_j long, n long")
+    assert {(r["view_j"], r["n_matches"], len(r["inliers"] or [])) for r in solvers.two_view_poses_where_seen(pairs, F.col("n"), seen).collect()} == {(2, 60, 60), (3, 20, 0), (4, 55, 55)}
+
+
 def test_model_operators(spark):
     m = spark.createDataFrame([(1, 2, 0, 5, 6, True), (1, 2, 1, 7, 8, None), (3, 4, 0, 1, 1, True)], "view_i long, view_j long, match_idx long, feat_i long, feat_j long, is_inlier boolean")
     kept = {(r["view_i"], r["match_idx"]): r["is_inlier"] for r in st.keep_matched_pairs(m, 2).collect()}
